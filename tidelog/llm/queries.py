@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm import oracle
 from tidelog.llm.common import load
+from tidelog.llm.decontaminate import contamination
 from tidelog.llm.packing import pack
 from tidelog.llm.simhash import near_duplicates
 from tidelog.llm.tokens import public_path, token_counts
@@ -14,6 +16,10 @@ from tidelog.llm.tokens import public_path, token_counts
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), vocabulary=public_path(VOCABULARY))
 
@@ -27,9 +33,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_best_fit_packing, op8_token_counts, op9_simhash_near_dedup]
+    found = [op1_benchmark_decontamination, op3_best_fit_packing, op8_token_counts, op9_simhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_benchmark_decontamination": oracle.OP1}
