@@ -10,6 +10,7 @@ from tidelog.llm import oracle
 from tidelog.llm.common import load
 from tidelog.llm.decontaminate import contamination
 from tidelog.llm.packing import pack
+from tidelog.llm.secrets import secret_scan
 from tidelog.llm.simhash import near_duplicates
 from tidelog.llm.tokens import public_path, token_counts
 
@@ -24,6 +25,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), vocabulary=public_path(VOCABULARY))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(load(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), vocabulary=public_path(VOCABULARY))
 
@@ -33,7 +38,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op3_best_fit_packing, op8_token_counts, op9_simhash_near_dedup]
+    found = [op1_benchmark_decontamination, op3_best_fit_packing, op4_secret_scans, op8_token_counts, op9_simhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
