@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm import oracle
 from tidelog.llm.common import load
 from tidelog.llm.decontaminate import contamination
+from tidelog.llm.imatch import fingerprints_and_edits
 from tidelog.llm.packing import pack
 from tidelog.llm.secrets import secret_scan
 from tidelog.llm.simhash import near_duplicates
@@ -37,8 +38,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_and_edits(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op3_best_fit_packing, op4_secret_scans, op8_token_counts, op9_simhash_near_dedup]
+    found = [op1_benchmark_decontamination, op3_best_fit_packing, op4_secret_scans, op8_token_counts, op9_simhash_near_dedup, op10_document_fingerprints]
     return {f.__name__: f for f in found}
 
 
