@@ -10,12 +10,14 @@ from tidelog.llm import oracle
 from tidelog.llm.common import load
 from tidelog.llm.decontaminate import contamination
 from tidelog.llm.imatch import fingerprints_and_edits
+from tidelog.llm.lm import score_texts
 from tidelog.llm.packing import pack
 from tidelog.llm.secrets import secret_scan
 from tidelog.llm.simhash import near_duplicates
 from tidelog.llm.tokens import public_path, token_counts
 
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(load(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(load(spark, sf_dir, "documents"), vocabulary=public_path(PIECES))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), vocabulary=public_path(VOCABULARY))
 
@@ -43,7 +49,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op3_best_fit_packing, op4_secret_scans, op8_token_counts, op9_simhash_near_dedup, op10_document_fingerprints]
+    found = [op1_benchmark_decontamination, op3_best_fit_packing, op4_secret_scans, op6_lm_scoring, op8_token_counts, op9_simhash_near_dedup, op10_document_fingerprints]
     return {f.__name__: f for f in found}
 
 
