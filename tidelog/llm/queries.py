@@ -12,6 +12,7 @@ from tidelog.llm.decontaminate import contamination
 from tidelog.llm.imatch import fingerprints_and_edits
 from tidelog.llm.lm import score_texts
 from tidelog.llm.packing import pack
+from tidelog.llm.quality import quality_scores
 from tidelog.llm.secrets import secret_scan
 from tidelog.llm.simhash import near_duplicates
 from tidelog.llm.tokens import public_path, token_counts
@@ -24,6 +25,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality_scores(docs, load(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), vocabulary=public_path(VOCABULARY))
 
@@ -49,7 +55,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op3_best_fit_packing, op4_secret_scans, op6_lm_scoring, op8_token_counts, op9_simhash_near_dedup, op10_document_fingerprints]
+    found = [op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_secret_scans, op6_lm_scoring, op8_token_counts, op9_simhash_near_dedup, op10_document_fingerprints]
     return {f.__name__: f for f in found}
 
 
