@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm import oracle
 from tidelog.llm.common import load
 from tidelog.llm.decontaminate import contamination
+from tidelog.llm.html import extract_text
 from tidelog.llm.imatch import fingerprints_and_edits
 from tidelog.llm.lm import score_texts
 from tidelog.llm.packing import pack
@@ -42,6 +43,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(load(spark, sf_dir, "documents"), vocabulary=public_path(PIECES))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(load(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), vocabulary=public_path(VOCABULARY))
 
@@ -55,7 +60,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_secret_scans, op6_lm_scoring, op8_token_counts, op9_simhash_near_dedup, op10_document_fingerprints]
+    found = [op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_secret_scans, op6_lm_scoring, op7_html_extraction, op8_token_counts, op9_simhash_near_dedup, op10_document_fingerprints]
     return {f.__name__: f for f in found}
 
 
