@@ -13,6 +13,7 @@ from tidelog.llm.html import extract_text
 from tidelog.llm.imatch import fingerprints_and_edits
 from tidelog.llm.lm import score_texts
 from tidelog.llm.packing import pack
+from tidelog.llm.pii import pseudonymize
 from tidelog.llm.quality import quality_scores
 from tidelog.llm.secrets import secret_scan
 from tidelog.llm.simhash import near_duplicates
@@ -39,6 +40,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(load(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(load(spark, sf_dir, "documents"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(load(spark, sf_dir, "documents"), vocabulary=public_path(PIECES))
 
@@ -60,7 +65,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_secret_scans, op6_lm_scoring, op7_html_extraction, op8_token_counts, op9_simhash_near_dedup, op10_document_fingerprints]
+    found = [op1_benchmark_decontamination, op2_quality_classifier, op3_best_fit_packing, op4_secret_scans, op5_pii_surrogates, op6_lm_scoring, op7_html_extraction, op8_token_counts, op9_simhash_near_dedup, op10_document_fingerprints]
     return {f.__name__: f for f in found}
 
 
