@@ -42,6 +42,10 @@ def _remove(path: str) -> None:
         pass
 
 
+def remove_at_exit(path: str) -> None:
+    atexit.register(_remove, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
 
@@ -50,7 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_root(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, path)
+    remove_at_exit(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
