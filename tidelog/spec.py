@@ -39,7 +39,7 @@ class KeyColumn:
         order = (lambda c: c.asc_nulls_first()) if up else (lambda c: c.desc_nulls_last())
         c = self.identity()
         if self.nan_first:
-            return [order(~F.isnan(c)), order(c)]
+            return [order(F.when(c.isNull(), 0).when(F.isnan(c), 1).otherwise(2)), order(c)]
         if self.longer_first:
             return [order(F.concat(F.hex(c), F.lit("~")))] if self.ascending else [order(F.hex(c)), F.octet_length(c).desc()]
         if self.utf16:
