@@ -3,7 +3,8 @@
 Fingerprints of 64 bits link when few bits differ. If at most ``d`` bits differ, at most ``d`` of the 8 bytes do, so the
 pair shares at least ``8 - d`` positional bytes. The index therefore has a list for every choice of ``8 - d`` byte
 positions and their values: a pair meets in some list exactly if its tally of shared positional bytes reaches the
-guaranteed minimum (it meets in ``C(tally, 8 - d)`` lists), and no pair below it is ever made. Pairs of a list are
+guaranteed minimum (it meets in ``C(tally, 8 - d)`` lists), and no pair below it is ever made. Several fingerprints of a text,
+by seed, each have their own lists. Pairs of a list are
 verified by their exact distance where the list lies, and only links that join parts of the list not yet joined leave it:
 the output is linear in the list, never its square. A list longer than ``LIST`` is not compared pair by pair at all: the
 fingerprints of a list differ in the other ``8 d`` bits alone, and two of them differ in at most ``d`` bits exactly if
@@ -31,11 +32,11 @@ LIST = 2048
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
+def fingerprint(text: bytes, width: int = 4, seed: int = 42, distinct: bool = False) -> int:
     """SimHash of the word shingles of a text; 0 without words.
 
-    Bytes A-Z are lower-cased, words are parted by ASCII white space, repeated shingles count again, fewer words than
-    ``width`` are one shingle. A bit is set if it is in over half of the shingles' XXH64 values.
+    Bytes A-Z are lower-cased, words are parted by ASCII white space, repeated shingles count again unless ``distinct``, fewer
+    words than ``width`` are one shingle. A bit is set if it is in over half of the shingles' XXH64 values.
     """
     words = text.lower().split()
     if not words:
@@ -45,25 +46,31 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
         return xxhash.xxh64_intdigest(joined, seed)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     end = np.cumsum(size + 1) - 1
-    first, last = (end - size)[: len(words) - width + 1].tolist(), end[width - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
+    spans = zip((end - size)[: len(words) - width + 1].tolist(), end[width - 1 :].tolist(), strict=True)
+    shingles: Iterator[bytes] = (joined[a:b] for a, b in spans)
+    if distinct:
+        shingles = iter(dict.fromkeys(shingles))
+    digest, n = xxhash.xxh64_intdigest, 0
     count = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(first), BLOCK):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(first[i : i + BLOCK], last[i : i + BLOCK], strict=True)], dtype="<u8")
+    while block := [digest(x, seed) for x in itertools.islice(shingles, BLOCK)]:
+        h = np.array(block, dtype="<u8")
         count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(count * 2 > len(first), bitorder="little").view("<u8")[0])
+        n += len(block)
+    return int(np.packbits(count * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, fp)``: the fingerprint of each row, as a signed 64-bit integer. Null text has no words."""
+def fingerprints(docs: DataFrame, *, width: int = 4, seeds: tuple[int, ...] = (42,), distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, fps)``: a fingerprint of each row for each seed, as signed 64-bit integers. Null text has no words."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, width) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc", "fp"])
+            fps = np.array([fingerprint(t, width, s, distinct) for t in texts_of(batch) for s in seeds], dtype=np.uint64).view(np.int64)
+            flat = pa.array(fps)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, len(seeds)), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc", "fps"])
 
-    return picked.mapInArrow(run, "doc long, fp long")
+    return picked.mapInArrow(run, "doc long, fps array<long>")
 
 
 def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,25 +78,30 @@ def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _index(distance: int):
-    """Rows of the inverted index: a key for each choice of byte positions and their values."""
+    """Rows ``(key, fp, node)`` of the inverted index: a key for each choice of byte positions and their values."""
     choices = list(itertools.combinations(range(8), 8 - distance))
     masks = np.array([sum(0xFF << 8 * p for p in c) for c in choices], dtype=np.uint64)
-    # the choice is part of the key: odd multipliers keep keys of one choice apart, a mixed constant those of two
+    # the choice is part of the key: choices of the same bytes' values get keys apart
     salts = np.array([xxhash.xxh64_intdigest(bytes(c)) for c in choices], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for part in np.array_split(fp, max(1, len(fp) // 2000)):
-                key = ((part[:, None] & masks) ^ salts) * np.uint64(0x9E3779B97F4A7C15)
-                rows = [key.ravel().view(np.int64), np.repeat(part, len(masks)).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "fp"])
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            every = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(node), -1)
+            for s in range(every.shape[1]):
+                # fingerprints of different seeds are apart, and distances of one seed's as they were
+                own = every[:, s] ^ np.uint64(0 if s == 0 else xxhash.xxh64_intdigest(b"seed", s))
+                for at in range(0, len(own), 2000):
+                    part = own[at : at + 2000]
+                    key = ((part[:, None] & masks) ^ salts) * np.uint64(0x9E3779B97F4A7C15)
+                    rows = [key.ravel().view(np.int64), np.repeat(part, len(masks)).view(np.int64), np.repeat(node[at : at + 2000], len(masks))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "fp", "node"])
 
     return run
 
 
-def _spanning(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a list that join its parts: every pair is compared, a link within a part already joined is left out."""
+def _spanning(fp: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
+    """Links of a list that join its parts, as places in it: every pair is compared, a link within a part already joined is left out."""
     part = np.arange(len(fp))
     out_a, out_b = [], []
     for i in range(len(fp) - 1):
@@ -97,15 +109,15 @@ def _spanning(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         for j in near[np.unique(part[near], return_index=True)[1]]:
             if part[j] != part[i]:
                 part[part == part[j]] = part[i]
-                out_a.append(fp[i])
-                out_b.append(fp[j])
-    return np.array(out_a, dtype=np.uint64), np.array(out_b, dtype=np.uint64)
+                out_a.append(i)
+                out_b.append(int(j))
+    return out_a, out_b
 
 
 def _lists(distance: int, longest: int):
-    """Walk the sorted index and emit ``(kind, a, b)``: kind 0 links a and b; kind 1 is fingerprint b of long list a."""
+    """Walk the sorted index and emit ``(kind, a, b)``: kind 0 links nodes a and b; kind 1 is node b, of fingerprint a, in a long list."""
 
-    def emit(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[cut, len(key)])
         kinds, lefts, rights = [], [], []
@@ -113,46 +125,45 @@ def _lists(distance: int, longest: int):
         def add(kind: int, a: np.ndarray, b: np.ndarray) -> None:
             kinds.append(np.full(len(a), kind, dtype=np.int32))
             lefts.append(a.view(np.int64))
-            rights.append(b.view(np.int64))
+            rights.append(b)
 
         two = cut[size == 2]
         near = two[bits_between(fp[two], fp[two + 1]) <= distance]
-        add(0, fp[near], fp[near + 1])
+        add(0, node[near], node[near + 1])
         for at, n in zip(cut[size > 2], size[size > 2], strict=True):
-            group = fp[at : at + n]
+            own, names = fp[at : at + n], node[at : at + n]
             if n <= longest:
-                add(0, *_spanning(group, distance))
+                a, b = _spanning(own, distance)
+                add(0, names[a], names[b])
             else:
-                add(1, np.full(n, key[at], dtype=np.int64), group)
+                add(1, own, names)
         rows = [np.concatenate(x) for x in (kinds, lefts, rights)]
         if len(rows[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            key, fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(key):
                 continue
+            rows = (key, fp.view(np.uint64), node)
+            if held and held[-1][0][-1] != key[0]:  # the list that was held is whole
+                yield from emit(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
             last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])  # the last list may go on
-            if last or held and held[-1][0][-1] != key[0]:
-                if held and held[-1][0][-1] != key[0] and not last:
-                    yield from emit(*map(np.concatenate, zip(*held, strict=True)))
-                    held = [(key, fp)]
-                    continue
-                held.append((key[:last], fp[:last]))
+            if last:
+                held.append(tuple(x[:last] for x in rows))
                 yield from emit(*map(np.concatenate, zip(*held, strict=True)))
-                held = [(key[last:], fp[last:])]
-            else:
-                held.append((key, fp))
+                held = []
+            held.append(tuple(x[last:] for x in rows))
         if held:
             yield from emit(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _balls(distance: int, radius: int):
+def _balls(radius: int):
     """For fingerprints of long lists, all values within ``radius`` bits."""
     steps = [0] + [sum(1 << b for b in c) for r in range(1, radius + 1) for c in itertools.combinations(range(64), r)]
     moves = np.array(steps, dtype=np.uint64)
@@ -160,47 +171,51 @@ def _balls(distance: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for part in np.array_split(fp, max(1, len(fp) // 32)):
-                rows = [(part[:, None] ^ moves).ravel().view(np.int64), np.repeat(part, len(moves)).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "fp"])
+            node = batch.column(1).to_numpy(zero_copy_only=False)
+            for at in range(0, len(fp), 32):
+                part = fp[at : at + 32]
+                rows = [(part[:, None] ^ moves).ravel().view(np.int64), np.repeat(node[at : at + 32], len(moves))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "node"])
 
     return run
 
 
 def fingerprint_links(nodes: DataFrame, *, distance: int = 4, longest: int = LIST) -> DataFrame:
-    """Links ``(a, b)`` that connect distinct fingerprints ``nodes(fp)`` exactly as all pairs within ``distance`` bits do."""
+    """Links ``(a, b)`` that connect ``nodes(node, fps)`` exactly as all pairs do in which fingerprints of one seed differ in at
+    most ``distance`` bits."""
     if not 0 <= distance <= 7:
         raise ValueError("the byte-position index guarantees a shared byte for distances of 0 to 7 only")
-    index = nodes.select("fp").mapInArrow(_index(distance), "key long, fp long")
-    lists = index.repartition("key").sortWithinPartitions("key", "fp")
+    index = nodes.select("node", "fps").mapInArrow(_index(distance), "key long, fp long, node long")
+    lists = index.repartition("key").sortWithinPartitions("key", "fp", "node")
     made = stored(lists.mapInArrow(_lists(distance, longest), "kind int, a long, b long"), "simhash-links")
     links = made.where("kind = 0").select("a", "b")
-    dense = made.where("kind = 1").select(F.col("b").alias("fp")).distinct()
-    # a value within floor(d/2) bits of one and ceil(d/2) of the other exists exactly if at most d bits differ
+    dense = made.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
     if dense.isEmpty():
         return links
-    wide = dense.mapInArrow(_balls(distance, (distance + 1) // 2), "key long, fp long")
-    low = wide.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    if distance % 2 == 0:
-        return links.union(wide.join(low.drop("n"), "key").where("a <> fp").select("a", F.col("fp").alias("b")).distinct())
-    near = dense.mapInArrow(_balls(distance, distance // 2), "key long, fp long")
-    low = near.groupBy("key").agg(F.min("fp").alias("a"))
-    return links.union(wide.join(low, "key").where("a <> fp").select("a", F.col("fp").alias("b")).distinct())
-
-
-def near_duplicates(docs: DataFrame, *, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: ``(id, fingerprint, component_id)``; the fingerprint as 16 lower-case hex digits.
-
-    ``component_id`` is the smallest id reachable over links of at most ``distance`` bits, itself included. Rows with
-    equal ids stay apart rows. A null id is nobody's smallest: its component takes the smallest other id, or null. Null
-    and empty texts have fingerprint 0 and link like any other. Other columns are not read.
+    # a value within half of the distance, rounded down, of one and the rest of it of the other exists exactly if at most
+    # `distance` bits differ; all that meet at a value are linked to the least that is within the smaller half
+    wide = dense.mapInArrow(_balls((distance + 1) // 2), "key long, node long")
+    core = wide if distance % 2 == 0 else dense.mapInArrow(_balls(distance // 2), "key long, node long")
+    low = core.groupBy("key").agg(F.min("node").alias("a"))
+    return links.union(wide.join(low, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+
+
+def near_duplicates(
+    docs: DataFrame, *, width: int = 4, distance: int = 4, seeds: tuple[int, ...] = (42,), distinct: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """A row per input row: ``(id, fingerprint, component_id)``; the first seed's fingerprint as 16 lower-case hex digits.
+
+    ``component_id`` is the smallest id reachable over links of at most ``distance`` bits under any seed, itself included.
+    Rows with equal ids stay apart rows. A null id is nobody's smallest: its component takes the smallest other id, or null.
+    Null and empty texts have fingerprint 0 and link like any other. Other columns are not read.
     """
-    fps = stored(fingerprints(docs, width=width, id_col=id_col, text_col=text_col), "simhash")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc").alias("low")), "simhash-nodes")
-    linked = components(fingerprint_links(nodes, distance=distance)).withColumnRenamed("node", "fp")
-    joined = linked.join(nodes, "fp")
-    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    grouped = linked.join(lows, "root").select("fp", "component_id")
-    of_fp = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    out = fps.join(of_fp, "fp")
-    return out.select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = stored(fingerprints(docs, width=width, seeds=seeds, distinct=distinct, id_col=id_col, text_col=text_col), "simhash")
+    node = F.col("fps")[0] if len(seeds) == 1 else F.xxhash64("fps")
+    fps = fps.withColumn("node", node)
+    nodes = stored(fps.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc").alias("low")), "simhash-nodes")
+    linked = components(fingerprint_links(nodes, distance=distance))
+    lows = linked.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
+    grouped = linked.join(lows, "root").select("node", "component_id")
+    of_node = nodes.join(grouped, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    out = fps.join(of_node, "node")
+    return out.select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
