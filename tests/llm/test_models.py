@@ -34,8 +34,8 @@ def test_lattice_sums_over_all_segmentations():
     for w in ("a", "ab", "abab", "bbaab"):
         assert lattice.log_prob(w) == pytest.approx(math.log(brute(L.SPACE + w)))
     assert lattice.log_prob("é") == pytest.approx(math.log(p[0]) + 2 * math.log(0.1 / 256))
-    uses = [0.0] * 262
-    lattice.expect("abab", 3.0, uses)
+    uses = np.zeros(262)
+    lattice.expect(["abab"], np.array([3.0]), uses)
     eps, base = 1e-5, lattice.log_prob("abab")
     for k in range(6):  # expected uses are the derivative by the log probability
         q = np.log(p).copy()
@@ -69,7 +69,8 @@ def test_fitting_raises_the_likelihood(spark, sf_dir):
     types = L.word_types(docs)
     pieces, byte, start = L.read_vocabulary(PIECES)
     sample = [(r["word"].decode(), r["c"]) for r in types.where("octet_length(word) > 0").limit(500).collect()]
-    total = lambda lp: sum(c * L.Lattice(pieces, byte, lp).log_prob(w) for w, c in sample)
+    times = np.array([c for _, c in sample])
+    total = lambda lp: float(times @ L.Lattice(pieces, byte, lp).log_probs([w for w, _ in sample]))
     one, two = L.fit(types, PIECES, 1), L.fit(types, PIECES, 2)
     assert total(start) < total(one) < total(two)
 

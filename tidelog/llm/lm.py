@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import emit, stored, texts_of
+from tidelog.llm.common import OUT_ROWS, emit, stored, texts_of
 
 HEAD = 100_000
 FLUSH = 400_000
@@ -35,72 +35,133 @@ STRETCH = 400
 
 
 class Lattice:
-    """Pieces with log probabilities, and the forward and backward recursions of a word."""
+    """Pieces with log probabilities, and the forward and backward recursions of many words at once.
 
-    def __init__(self, pieces: dict[str, int], bytes_: list[int], log_p: np.ndarray) -> None:
-        self.pieces, self.bytes, self.p = pieces, bytes_, log_p.tolist()
-        self.longest = max(map(len, pieces))
-        self.starts = {w[:2] for w in pieces}
-
-    def edges(self, s: str) -> list[list[tuple[int, tuple[int, ...]]]]:
-        """For each place, the pieces that end there: where they start, and their ids."""
-        n, get, longest = len(s), self.pieces.get, self.longest
-        out: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        starts = self.starts
-        for i in range(n):
-            one = get(s[i])
-            if one is None:
-                out[i + 1].append((i, tuple(self.bytes[b] for b in s[i].encode())))
-            else:
-                out[i + 1].append((i, (one,)))
-            if s[i : i + 2] in starts:
-                for j in range(i + 2, min(n, i + longest) + 1):
-                    k = get(s[i:j])
-                    if k is not None:
-                        out[j].append((i, (k,)))
-        return out
+    Words of about one length are the rows of an array of letters. For each number of letters, the pieces that start at each
+    place are looked up by a rolling hash; the recursions then run over places, for all rows together, in log space.
+    """
 
-    def forward(self, edges: list[list[tuple[int, tuple[int, ...]]]]) -> list[float]:
+    _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, pieces: dict[str, int], bytes_: list[int], log_p: np.ndarray) -> None:
+        self.bytes, self.p = np.array(bytes_), np.asarray(log_p, dtype=float)
+        names = [w for w in pieces if w]
+        self.longest = max(map(len, names))
+        hashes = np.empty(len(names), dtype=np.uint64)
+        for i, w in enumerate(names):
+            hashes[i] = self._hash(w)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.array([pieces[w] for w in names])[order]
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[self._slot(self.hashes)] = True
+
+    @classmethod
+    def _hash(cls, w: str) -> np.uint64:
+        h = 0
+        for c in w:
+            h = (h * int(cls._BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+        return np.uint64(h)
+
+    @classmethod
+    def _slot(cls, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * cls._MIX) >> np.uint64(44)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(w) for w in words])
+        top = int(size.max())
+        return np.array(words, dtype=f"U{top}").view(np.uint32).reshape(len(words), top).astype(np.uint64), size
+
+    def _pieces(self, letters: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each length from 1, the ids of pieces by row and start, -1 for none, and their log probabilities."""
+        ids, weights = [], []
+        h = np.zeros_like(letters)
+        for k in range(1, min(letters.shape[1], self.longest) + 1):
+            h = h[:, : letters.shape[1] - k + 1] * self._BASE + letters[:, k - 1 :]
+            found = np.full(h.shape, -1)
+            near = np.nonzero(self.maybe[self._slot(h)])
+            own = h[near]
+            at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            found[near] = np.where(self.hashes[at] == own, self.ids[at], -1)
+            w = np.where(found >= 0, self.p[found], -np.inf)
+            if k == 1:
+                for c in np.unique(letters[(found < 0) & (letters > 0)]).tolist():
+                    w[letters == c] = self.p[self.bytes[list(chr(c).encode("utf-8", "replace"))]].sum()
+            ids.append(found)
+            weights.append(w)
+        return ids, weights
+
+    @staticmethod
+    def _sum(terms: list[np.ndarray]) -> np.ndarray:
+        if len(terms) == 1:
+            return terms[0]
+        x = np.stack(terms)
+        top = x.max(0)
+        safe = np.where(np.isfinite(top), top, 0.0)
+        with np.errstate(divide="ignore"):
+            return safe + np.log(np.exp(x - safe).sum(0))
+
+    def _forward(self, weights: list[np.ndarray], n: int, top: int) -> np.ndarray:
         """Log of the summed probability of all ways to reach each place."""
-        p, exp, log = self.p, math.exp, math.log
-        a = [0.0] * len(edges)
-        for j in range(1, len(edges)):
-            terms = [a[i] + (p[ids[0]] if len(ids) == 1 else sum(p[k] for k in ids)) for i, ids in edges[j]]
-            top = max(terms)
-            a[j] = top if len(terms) == 1 else top + log(sum(exp(t - top) for t in terms))
+        a = np.full((n, top + 1), -np.inf)
+        a[:, 0] = 0
+        for j in range(1, top + 1):
+            a[:, j] = self._sum([a[:, j - k] + weights[k - 1][:, j - k] for k in range(1, min(j, len(weights)) + 1)])
         return a
 
+    def log_probs(self, words: list[str]) -> np.ndarray:
+        """Marginal log probability of each word."""
+        out = np.zeros(len(words))
+        for rows, parts in _alike(words):
+            letters, size = self._letters(parts)
+            _, weights = self._pieces(letters)
+            a = self._forward(weights, *letters.shape)
+            np.add.at(out, rows, a[np.arange(len(parts)), size])
+        return out
+
     def log_prob(self, word: str) -> float:
-        return sum(self.forward(self.edges(s))[-1] for s in stretches(word))
-
-    def expect(self, word: str, times: float, into: list[float]) -> None:
-        """Add the expected uses of each piece in ``times`` occurrences of a word."""
-        p, exp, log = self.p, math.exp, math.log
-        for s in stretches(word):
-            edges = self.edges(s)
-            a = self.forward(edges)
-            n = len(s)
-            b: list[float | None] = [None] * n + [0.0]
-            for j in range(n, 0, -1):
-                if b[j] is None:
-                    continue
-                for i, ids in edges[j]:
-                    w = sum(p[k] for k in ids)
-                    use = times * exp(a[i] + w + b[j] - a[n])
-                    for k in ids:
-                        into[k] += use
-                    x = w + b[j]
-                    y = b[i]
-                    b[i] = x if y is None else (x + log(1 + exp(y - x)) if x > y else y + log(1 + exp(x - y)))
+        return float(self.log_probs([word])[0])
+
+    def expect(self, words: list[str], times: np.ndarray, into: np.ndarray) -> None:
+        """Add the expected uses of each piece in ``times`` occurrences of each word."""
+        for rows, parts in _alike(words):
+            letters, size = self._letters(parts)
+            n, top = letters.shape
+            ids, weights = self._pieces(letters)
+            a = self._forward(weights, n, top)
+            total = a[np.arange(n), size]
+            b = np.full((n, top + 1), -np.inf)
+            for i in range(top, -1, -1):
+                ends = np.where(size == i, 0.0, -np.inf)
+                b[:, i] = self._sum([ends, *(weights[k - 1][:, i] + b[:, i + k] for k in range(1, min(top - i, len(weights)) + 1))])
+            c = np.asarray(times, dtype=float)[rows]
+            for k, (found, w) in enumerate(zip(ids, weights, strict=True), 1):
+                with np.errstate(invalid="ignore"):
+                    use = np.exp(a[:, : top - k + 1] + w + b[:, k:] - total[:, None]) * c[:, None]
+                known = found >= 0
+                into += np.bincount(found[known], use[known], len(into))
+                if k == 1:
+                    rest = ~known & (letters > 0) & np.isfinite(use)
+                    for code in np.unique(letters[rest]).tolist():
+                        np.add.at(into, self.bytes[list(chr(code).encode("utf-8", "replace"))], use[rest & (letters == code)].sum())
+
+
+def _alike(words: list[str], rows: int = 2048, letters: int = 60_000) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Stretches of words, of about one length together, with the words that they are of; few at a time where they are long."""
+    flat = sorted(((i, s) for i, w in enumerate(words) for s in stretches(w)), key=lambda x: len(x[1]))
+    at = 0
+    while at < len(flat):
+        n = rows
+        while n > 1 and len(flat[min(at + n, len(flat)) - 1][1]) * n > letters:
+            n //= 2
+        part = flat[at : at + n]
+        at += n
+        yield np.array([i for i, _ in part]), [s for _, s in part]
 
 
 def stretches(word: str) -> Iterator[str]:
-    s = SPACE + word
-    if len(s) <= STRETCH:
-        yield s
-    else:
-        for i in range(0, len(s), STRETCH):
-            yield s[i : i + STRETCH]
+    s = SPACE + word.replace("\0", "\ufffd")  # the array's padding is the zero letter
+    for i in range(0, len(s), STRETCH):
+        yield s[i : i + STRETCH]
 
 
 def read_vocabulary(path: str) -> tuple[dict[str, int], list[int], np.ndarray]:
@@ -154,11 +215,10 @@ def fit(types: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
         sent = spark.sparkContext.broadcast((pieces, byte, log_p))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lattice, uses = Lattice(*sent.value), [0.0] * len(sent.value[2])  # noqa: B023
+            lattice, uses = Lattice(*sent.value), np.zeros(len(sent.value[2]))  # noqa: B023
             for batch in batches:
-                for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    lattice.expect(w.decode("utf-8", "replace"), c, uses)
-            yield from emit(((i, u) for i, u in enumerate(uses) if u), schema)
+                lattice.expect([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(), uses)
+            yield from emit(((i, u) for i, u in enumerate(uses.tolist()) if u), schema)
 
         trained = types.where("c > 0 and octet_length(word) > 0").select("word", "c")
         found = trained.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
@@ -195,7 +255,7 @@ def score_texts(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", tex
         end = float(sent.value[2][-1])
         for batch in batches:
             words = batch.column(0).to_pylist()
-            s = [(lattice.log_prob(w.decode("utf-8", "replace")) if w else end) / LN10 for w in words]
+            s = np.where([not w for w in words], end, lattice.log_probs([w.decode("utf-8", "replace") for w in words])) / LN10
             base = np.log10(batch.column(1).to_numpy() + 1.0) - below
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base), pa.array(s), batch.column(1), batch.column(2)], names=["word", "base", "score", "c", "every"])
 
@@ -209,23 +269,40 @@ def score_texts(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", tex
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
 
-        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for row, doc, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(3)), texts_of(batch), strict=True):
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            size, found, base, score = [], [], [], []
+            rare_row, rare_word, rare_times = [], [], []
+            for row, text in zip(numbers, texts_of(batch), strict=True):
                 words = text.lower().split()
                 words.append(END)
-                found = base = score = 0
-                for w, k in Counter(words).items():
+                k, b, s = 0, 0.0, 0.0
+                for w, n in Counter(words).items():
                     got = known.get(w)
                     if got is None:
-                        yield row, None, None, None, None, None, None, w, k
+                        rare_row.append(row)
+                        rare_word.append(w)
+                        rare_times.append(n)
                     else:
-                        base += k * got[0]
-                        score += k * got[1]
-                        found += k * got[2]
-                yield row, doc, held_out, len(words), found, float(base), float(score), None, None
-
-        for batch in batches:
-            yield from emit(rows(batch), schema)
+                        b += n * got[0]
+                        s += n * got[1]
+                        k += n * got[2]
+                size.append(len(words))
+                found.append(k)
+                base.append(b)
+                score.append(s)
+                if len(rare_row) > OUT_ROWS:
+                    yield from rare_rows(rare_row, rare_word, rare_times)
+                    rare_row, rare_word, rare_times = [], [], []
+            m = len(numbers)
+            cols = [*(batch.column(i) for i in range(3)), size, found, base, score, pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            yield from rare_rows(rare_row, rare_word, rare_times)
+
+    def rare_rows(row: list, word: list, times: list) -> Iterator[pa.RecordBatch]:
+        if row:
+            cols = [pa.array(row, pa.int64()), *(pa.nulls(len(row), f.type) for f in list(schema)[1:7]), pa.array(word, pa.binary()), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     ddl = "row long, doc long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, times long"
     parts = stored(picked.select("row", "doc", "held_out", "text").mapInArrow(add, ddl), "token-rows")
