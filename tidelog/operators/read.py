@@ -146,8 +146,8 @@ def ordinals(view: DataFrame, key: KeySpec, *, out: str = "ordinal") -> DataFram
 def sparse_index(view: DataFrame, key: KeySpec, step: int = 1024) -> DataFrame:
     """Every ``step``-th key, and the last one, with their ordinals."""
     placed = ordinals(view.select(*key.names), key)
-    n = placed.agg((F.max("ordinal")).alias("__top"))
-    return placed.join(F.broadcast(n), (F.col("ordinal") % step == 0) | (F.col("ordinal") == F.col("__top"))).select(*key.names, "ordinal")
+    top = view.count() - 1
+    return placed.where((F.col("ordinal") % step == 0) | (F.col("ordinal") == top))
 
 
 def boundaries(view: DataFrame, part: Column, key: str, value: str | None = None) -> DataFrame:
@@ -170,8 +170,8 @@ def count_fast(base: DataFrame, delta: DataFrame, key: KeySpec, *, base_rows: in
     marked = delta.join(base.select(*key.names).withColumn("__in", F.lit(True)), key.names, "left")
     change = F.when(F.col(DELETED) & F.col("__in"), -1).when(~F.col(DELETED) & F.col("__in").isNull(), 1).otherwise(0)
     total = marked.agg(F.coalesce(F.sum(change), F.lit(0)).cast("long").alias("change"))
-    size = base.agg(F.count("*").alias("size")) if base_rows is None else base.sparkSession.createDataFrame([(base_rows,)], "size long")
-    return size.join(F.broadcast(total)).select((F.col("size") + F.col("change")).alias("n"))
+    size = base.count() if base_rows is None else base_rows
+    return total.select((F.lit(size) + F.col("change")).alias("n"))
 
 
 def physical_counts(log: DataFrame) -> DataFrame:

@@ -56,8 +56,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log in four layers by age, 0 the newest."""
     log = event_log(spark, sf_dir)
-    n = log.agg(F.max(OP).alias("__n"))
-    return log.join(F.broadcast(n)).withColumn(LAYER, (3 - F.floor((F.col(OP) - 1) * 4 / F.col("__n"))).cast("int")).drop("__n")
+    n = log.agg(F.max(OP)).first()[0] or 1
+    return log.withColumn(LAYER, (3 - F.floor((F.col(OP) - 1) * 4 / F.lit(n))).cast("int"))
 
 
 LAYERS = f"SELECT *, CAST(3 - floor((op - 1) * 4 / (SELECT max(event_id) + 1 FROM events)) AS INTEGER) AS layer FROM ({LOG})"
@@ -66,9 +66,8 @@ LAYERS = f"SELECT *, CAST(3 - floor((op - 1) * 4 / (SELECT max(event_id) + 1 FRO
 def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The view of the first half of the log, and the second half as a batch."""
     log = event_log(spark, sf_dir)
-    n = log.agg(F.floor(F.count("*") / 2).alias("__n"))
-    split = log.join(F.broadcast(n))
-    return V.visible(split.where(F.col(OP) <= F.col("__n")).drop("__n"), USER), split.where(F.col(OP) > F.col("__n")).drop("__n")
+    n = log.count() // 2
+    return V.visible(log.where(F.col(OP) <= n), USER), log.where(F.col(OP) > n)
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -240,10 +239,9 @@ def force_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del")
 def upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    n = log.agg(F.floor(F.count("*") / 2).alias("__n"))
-    split = log.join(F.broadcast(n))
-    old = V.last_write_wins(split.where(F.col(OP) <= F.col("__n")).drop("__n"), USER)
-    return shown(V.visible(X.upsert(old, split.where(F.col(OP) > F.col("__n")).drop("__n")), USER))
+    n = log.count() // 2
+    old = V.last_write_wins(log.where(F.col(OP) <= n), USER)
+    return shown(V.visible(X.upsert(old, log.where(F.col(OP) > n)), USER))
 
 
 @query("SELECT user_id, event_id + 1 AS op, value + (event_id + 1) AS value FROM events")
