@@ -18,6 +18,8 @@ PAGES = [
     ("<article><header><h1>Title</h1></header><p>Text.</p><footer>f</footer></article><article class=comment><p>hi there, a comment longer than the text.</p></article>", "Title\nText."),
     ("<body><header>Site</header><main><h1>A</h1><p>First, of two.</p><aside>More</aside><p>Second&nbsp;&eacute; &#x41;&amp</p></main><footer>end</footer>", "A\nFirst, of two.\nSecond é A&"),
     ("<article><p><b>Bold para, one.<br><p>Para two, plain.</article>", "Bold para, one.\nPara two, plain."),
+    ("<div class=has-sidebar><article><p>Kept, all of it.</p></article><div class=sidebar>side</div></div><section id=comments><article class=reply><p>Not this, ever.</p></article></section>", "Kept, all of it."),
+    ("<body class='nav-open'><div class='alert'>Note!</div><p>Plain text, in the body.</p><article class='comments'>no</article></body>", "Plain text, in the body."),
     ("<p>x<!-- <p>no -->y</p><style>p{}</style><noscript>no</noscript>", "xy"),
 ]
 

@@ -46,8 +46,11 @@ ROLES = set("navigation banner contentinfo complementary search dialog alertdial
 NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar sidebar "
     "footer foot comment comments disqus cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal overlay "
-    "share sharing social breadcrumb breadcrumbs related recommended recommendations pagination pager toolbar masthead widget widgets skip outbrain taboola".split()
+    "share sharing social breadcrumb breadcrumbs related recommended recommendations pagination pager toolbar masthead widget widgets skip outbrain taboola alert disclaimer paywall".split()
 )
+READERS = {"comment", "comments", "disqus"}
+#: A class that says how a layout goes with a side part, not that it is one.
+LAYOUT = {"with", "without", "has", "no"}
 OUTER_NAMES = {"header", "topbar", "top"}
 SECTIONS = {"article", "main", "section", "body", "html", "div", "td", "center"}
 
@@ -185,7 +188,7 @@ def blocks_of(page: str) -> list[Block]:
             body = tag in ("html", "body", "article", "main")
             names = NAMES if article else NAMES | OUTER_NAMES
             dropped = at.dropped or tag in DROPPED or tag == "header" and not article or hidden or bool(roles & ROLES)
-            dropped = dropped or not (body and "comment" not in words) and bool(words & names)
+            dropped = dropped or bool(words & READERS) or not body and not words & LAYOUT and bool(words & names)
             path = paths.setdefault((at.path, tag), len(paths) + 1)
             node = Node(tag, at, path, dropped, at.depth + 1, article)
             if not attributes.rstrip().endswith("/") or tag in BLOCKS:
