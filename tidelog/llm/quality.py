@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stored, texts_of
+from tidelog.llm.common import emit, stored, texts_of
 
 #: Labelled rows that the classifiers are fitted to, at most about; a parameter of ``train``.
 SAMPLE = 8000
@@ -129,28 +129,41 @@ class Classifier:
         return float(np.clip(q, -CLIP, CLIP)), float(np.clip(t, -CLIP, CLIP))
 
 
-def fit(quality: np.ndarray, toxic: np.ndarray, shapes: np.ndarray, words: list[dict[int, float]]) -> Classifier:
-    """Fit both classifiers. The toxicity classifier keeps the features that weigh most in toxic rows against the others."""
+def fit(quality: np.ndarray, toxic: np.ndarray, shapes: np.ndarray, chosen: np.ndarray, weights: np.ndarray) -> Classifier:
+    """Fit both classifiers: on shapes, and on the weights of the chosen word features."""
     mean, scale = shapes.mean(0), shapes.std(0) + 0.05
     x = (shapes - mean) / scale
     q = logistic(np.clip(np.c_[x, x * x], -50, 50), quality, 1.0)
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    in1, in0, rows1 = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for f, t in zip(words, toxic, strict=True):
-        at = np.fromiter(f, dtype=np.int64, count=len(f))
-        (in1 if t else in0)[at] += np.fromiter(f.values(), dtype=float, count=len(f))
-        if t:
-            rows1[at] += 1
-    seen = np.flatnonzero(rows1 >= 2)
-    odds = np.log((in1[seen] + 0.2) / (n1 + 1)) - np.log((in0[seen] + 0.2) / (n0 + 1))
-    order = np.argsort(-in1[seen] * odds, kind="stable")[:WORDS]
-    chosen = np.sort(seen[order[odds[order] > 1.5]])
-    place = {int(f): i for i, f in enumerate(chosen)}
-    m = np.zeros((len(words), len(chosen)))
-    for i, f in enumerate(words):
-        for k in place.keys() & f.keys():
-            m[i, place[k]] = f[k]
-    return Classifier(mean, scale, q, chosen, logistic(m, toxic, 0.3))
+    return Classifier(mean, scale, q, chosen, logistic(weights, toxic, 0.3))
+
+
+def choose_words(sample: DataFrame, *, words: int = WORDS) -> np.ndarray:
+    """Word features that weigh most in toxic rows of ``sample(q, t, text)`` against the others: at most ``words``, sorted."""
+    schema = pa.schema([("f", pa.int32()), ("in1", pa.float64()), ("in0", pa.float64()), ("rows1", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[float]] = {}
+
+        def rows() -> Iterator[tuple]:
+            for f, (one, zero, n) in sums.items():
+                yield f, one, zero, int(n)
+            sums.clear()
+
+        for batch in batches:
+            for t, text in zip(batch.column(1).to_pylist(), texts_of(batch), strict=True):
+                for f, w in word_features(text).items():
+                    at = sums.setdefault(f, [0.0, 0.0, 0])
+                    at[1 - t] += w
+                    at[2] += t
+                if len(sums) > 200_000:
+                    yield from emit(rows(), schema)
+        yield from emit(rows(), schema)
+
+    n = sample.agg(F.sum("t").alias("n1"), F.sum(1 - F.col("t")).alias("n0")).first()
+    sums = sample.mapInArrow(run, "f int, in1 double, in0 double, rows1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("in1", "in0", "rows1")))
+    odds = F.log((F.col("in1") + 0.2) / ((n["n1"] or 0) + 1)) - F.log((F.col("in0") + 0.2) / ((n["n0"] or 0) + 1))
+    top = sums.where("rows1 >= 2").withColumn("odds", odds).where("odds > 1.5").orderBy((F.round(F.col("in1") * F.col("odds"), 6)).desc(), "f").limit(words)
+    return np.sort(np.array([r["f"] for r in top.collect()], dtype=np.int64))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
@@ -160,19 +173,27 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
     n = by_id.count()
     drawn = by_id.where(F.expr(f"pmod(xxhash64(id), {max(1, -(-n // sample))}) = 0"))
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("q", "t", "text")  # about `sample` rows
+    rows = stored(joined, "labelled")
+    chosen = choose_words(rows)
+    place = {int(f): i for i, f in enumerate(chosen)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
-            cols = [batch.column(0), batch.column(1), pa.array([shape(t) for t in texts], pa.list_(pa.float64())), pa.array([list(word_features(t).items()) for t in texts], pa.map_(pa.int32(), pa.float64()))]
+            found = [[(place[f], w) for f, w in word_features(t).items() if f in place] for t in texts]
+            cols = [batch.column(0), batch.column(1), pa.array([shape(t) for t in texts], pa.list_(pa.float64())), pa.array(found, pa.map_(pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["q", "t", "shape", "words"])
 
-    rows = joined.mapInArrow(run, "q int, t int, shape array<double>, words map<int,double>").toArrow()
-    if not rows.num_rows:
-        k = len(shape(b""))
+    got = rows.mapInArrow(run, "q int, t int, shape array<double>, words map<int,double>").toArrow()
+    k = len(shape(b""))
+    if not got.num_rows:
         return Classifier(np.zeros(k), np.ones(k), np.r_[np.zeros(2 * k), 2.0], np.array([], dtype=np.int64), np.array([-2.0]))
-    words = [dict(w) for w in rows["words"].to_pylist()]
-    return fit(rows["q"].to_numpy().astype(float), rows["t"].to_numpy().astype(float), np.array(rows["shape"].to_pylist()), words)
+    m = np.zeros((got.num_rows, len(chosen)))
+    for i, found in enumerate(got["words"].to_pylist()):
+        for f, w in found:
+            m[i, f] = w
+    flat = got["shape"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return fit(got["q"].to_numpy().astype(float), got["t"].to_numpy().astype(float), flat, chosen, m)
 
 
 def with_evidence(docs: DataFrame, model: Classifier, *, text_col: str = "text", quality: str = "__quality", toxic: str = "__toxic") -> DataFrame:
