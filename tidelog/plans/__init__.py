@@ -1 +1 @@
-
+"""Views of operation logs as logical plans."""

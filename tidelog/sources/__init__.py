@@ -1 +1 @@
-
+"""Stored tables, their files and backups."""

@@ -1 +1 @@
-
+"""Replication of operation streams."""
