@@ -101,3 +101,15 @@ def test_surrogates_are_distinct_over_a_table(spark, sf_dir):
     assert P.collisions(table).isEmpty() and table.count() >= 6000
     bad = spark.createDataFrame([("ip", "1", "3"), ("ip", "2", "3"), ("ip", "4", "4")], "kind string, value string, surrogate string")
     assert P.collisions(bad).count() == 2
+
+
+def test_gate_lets_every_entity_through(spark):
+    texts = ["call +33 6 12 34 56 78 now", "+49 30 12 34 56 78", "+1 (2) 34 56 78", "+٣٣ ٦ ١٢ ٣٤ ٥٦ ٧٨", "(555) 123-4567", "a@b.co", "at 1.2.3.4 only", "123-45-6789", "Mr Xu"]
+    texts.append(next(t for n in range(2, 99) if P.find_entities(t := f"to XX{n:02d}ABCDEFGHIJKL")))
+    for t in texts:
+        assert P.find_entities(t) and P._quick(t.encode()), t
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.pseudonymize(docs, key=KEY, check=False).collect()}
+    assert all(got[i]["n_entities"] == len(P.find_entities(t)) for i, t in enumerate(texts))
+    assert all("12 34 56 78" not in got[i]["text"] for i in (0, 1))
+    assert {r["value"] for r in P.entity_table(docs, KEY).collect()} >= {"+33 6 12 34 56 78", "+49 30 12 34 56 78"}

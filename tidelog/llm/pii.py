@@ -53,6 +53,8 @@ _NAMED = re.compile(rf"(?<!\w)(?:({_TITLE})\.?[ ]+)?({_WORD})(?:[ ]+({_WORD}))?"
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _LISTED = {n: (script, g) for (script, g), names in GIVEN.items() for n in names}
 _FIND = {k: re.compile(p) for k, p in PATTERNS.items()}
+#: What some part of every match of a pattern looks like: a phone number in a row or grouped, any other number, an IBAN's start.
+_MAY = re.compile(r"\d{3}|@|\d\.\d|\+\d|[A-Z]{2}\d\d")
 _GIVEN = re.compile(rf"(?<!\w)(?:(?:{_TITLE})\.?[ ]+{_WORD}|(?:{'|'.join(map(re.escape, _LISTED))})(?!\w))")
 
 
@@ -241,8 +243,9 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
 
 
 def _quick(text: bytes) -> bool:
-    """Whether there can be an entity at all."""
-    return re.search(rb"\d{3}|@|\d\.\d", text) is not None or _GIVEN.search(text.decode("utf-8", "replace")) is not None
+    """Whether there can be an entity at all; never False for a text in which ``find_entities`` finds one."""
+    plain = text.decode("utf-8", "replace")
+    return _MAY.search(plain) is not None or _GIVEN.search(plain) is not None
 
 
 def entity_table(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
