@@ -113,3 +113,16 @@ def test_gate_lets_every_entity_through(spark):
     assert all(got[i]["n_entities"] == len(P.find_entities(t)) for i, t in enumerate(texts))
     assert all("12 34 56 78" not in got[i]["text"] for i in (0, 1))
     assert {r["value"] for r in P.entity_table(docs, KEY).collect()} >= {"+33 6 12 34 56 78", "+49 30 12 34 56 78"}
+
+
+STATES = [
+    ("<body class='comments-open'><p>A text, of a page.</p></body>", "A text, of a page."), ("<body class='no-comments'><p>A text, here.</p></body>", "A text, here."),
+    ("<article class='post has-comments'><p>An article, whole.</p></article>", "An article, whole."),
+    ("<div class='sidebar-right'><article><p>An article, whole.</p></article></div><div class='sidebar'>side</div>", "An article, whole."),
+    ("<div id='content' class='social-share-enabled'><p>The text, all of it.</p><div class='share'>x</div></div>", "The text, all of it."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), STATES)
+def test_names_of_states_and_wrappers_take_no_article(page, text):
+    assert H.main_text(page) == text

@@ -49,6 +49,8 @@ NAMES = set(
     "share sharing social breadcrumb breadcrumbs related recommended recommendations pagination pager toolbar masthead widget widgets skip outbrain taboola alert disclaimer paywall".split()
 )
 READERS = {"comment", "comments", "disqus"}
+#: Words that a class may have beside READERS and still name the comment itself, not a state of what is commented.
+OF_READERS = READERS | {"list", "item", "thread", "body", "text", "reply", "replies", "user", "section", "area", "box"}
 #: A class that says how a layout goes with a side part, not that it is one.
 LAYOUT = {"with", "without", "has", "no"}
 OUTER_NAMES = {"header", "topbar", "top"}
@@ -63,6 +65,7 @@ class Node:
     dropped: bool
     depth: int = 0
     article: bool = False
+    named: Node | None = None  #: the nearest element, itself included, that goes by a name unless it holds most of the text
 
 
 @dataclass
@@ -72,15 +75,18 @@ class Block:
     linked: int = 0
 
 
-def _names(attributes: str) -> tuple[set[str], set[str], bool]:
+def _names(attributes: str) -> tuple[set[str], set[str], bool, bool]:
     words: set[str] = set()
+    comment = False
     roles: set[str] = set()
     hidden = False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
             for part in value.split():
-                words |= {w.lower() for w in _TOKEN.findall(part)}
+                own = {w.lower() for w in _TOKEN.findall(part)}
+                comment |= bool(own & READERS) and own <= OF_READERS
+                words |= own
         elif name == "role":
             roles |= set(value.lower().split())
         elif name == "hidden" and not attributes[: m.start()].rstrip().endswith("-"):
@@ -89,7 +95,7 @@ def _names(attributes: str) -> tuple[set[str], set[str], bool]:
             hidden |= value.lower() == "true"
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "").lower()
-    return words, roles, hidden
+    return words, roles, hidden, comment
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -183,22 +189,46 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if tag == "a":
                 links += 1
-            words, roles, hidden = _names(attributes) if attributes else (set(), set(), False)
+            words, roles, hidden, comment = _names(attributes) if attributes else (set(), set(), False, False)
             article = at.article or tag in ("article", "main")
             body = tag in ("html", "body", "article", "main")
             names = NAMES if article else NAMES | OUTER_NAMES
             dropped = at.dropped or tag in DROPPED or tag == "header" and not article or hidden or bool(roles & ROLES)
-            dropped = dropped or bool(words & READERS) or not body and not words & LAYOUT and bool(words & names)
+            dropped = dropped or comment and tag not in ("html", "body", "main")
             path = paths.setdefault((at.path, tag), len(paths) + 1)
-            node = Node(tag, at, path, dropped, at.depth + 1, article)
+            node = Node(tag, at, path, dropped, at.depth + 1, article, at.named)
+            if not body and not words & LAYOUT and words & names:
+                node.named = node
             if not attributes.rstrip().endswith("/") or tag in BLOCKS:
                 at = node
                 opened[tag] += 1
     add(page[pos:])
     flush()
+    _drop_named(out)
     return out
 
 
+def _drop_named(blocks: list[Block]) -> None:
+    """Drop what lies in elements named as no article text, except those that hold most of the text that is not links, and of
+    the text in articles if there is any."""
+    live = [b for b in blocks if not b.node.dropped]
+    whole, held = [0, 0], defaultdict(lambda: [0, 0])
+    for b in live:
+        n = max(0, len(b.text) - b.linked)
+        for count in (whole, *(held[id(x)] for x in _named(b.node))):
+            count[0] += n
+            count[1] += n * b.node.article
+    for b in live:
+        b.node.dropped = any(2 * held[id(x)][0] <= whole[0] or 2 * held[id(x)][1] < whole[1] for x in _named(b.node))
+
+
+def _named(node: Node) -> Iterator[Node]:
+    at = node.named
+    while at is not None:
+        yield at
+        at = at.parent.named if at.parent else None
+
+
 def path_scores(blocks: list[Block], reach: int = 2) -> dict[int, float]:
     """Fused score of each tag path: its smoothed text and punctuation ratios, both against the page's highest."""
     text: dict[int, float] = defaultdict(float)
