@@ -126,3 +126,10 @@ STATES = [
 @pytest.mark.parametrize(("page", "text"), STATES)
 def test_names_of_states_and_wrappers_take_no_article(page, text):
     assert H.main_text(page) == text
+
+
+def test_headings_and_smaller_siblings_stay():
+    long, short = "A long sentence, of many words. " * 30, "The rest, in a second part."
+    assert H.main_text(f"<body><h1>Title</h1><div>{long}</div></body>") == f"Title\n{long.strip()}"
+    assert H.main_text(f"<body><div><p>{long}</p></div><div><p>{short}</p></div></body>") == f"{long.strip()}\n{short}"
+    assert H.main_text(f"<body><div><a href=x>home</a></div><h1>T</h1><div>{long}</div></body>") == f"T\n{long.strip()}"

@@ -284,9 +284,18 @@ def main_text(page: str) -> str:
         top = top.parent
     for n in _above(top):  # an article is whole
         if n.tag in ("article", "main"):
-            top = n
-            break
-    return "\n".join(b.text for b in blocks if any(n is top for n in _above(b.node)))
+            return "\n".join(b.text for b in blocks if any(x is n for x in _above(b.node)))
+    # elsewhere all but what is mostly links is content, and headings are; links stay within the lowest element above all that scores
+    plain = {id(b) for b in blocks if 2 * b.linked < len(b.text)}
+    inner = _common([b for b in chosen if id(b) in plain] or chosen)
+    kept = plain | {id(b) for b in blocks if any(re.fullmatch("h[1-6]", n.tag) for n in _above(b.node))}
+    return "\n".join(b.text for b in blocks if id(b) in kept or any(n is inner for n in _above(b.node)))
+
+
+def _common(blocks: list[Block]) -> Node:
+    """The lowest element above all blocks."""
+    lines = [_above(b.node) for b in blocks]
+    return [ns[0] for ns in zip(*lines, strict=False) if all(n is ns[0] for n in ns)][-1]
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
