@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import lm as L
 from tidelog.llm import quality as Q
@@ -100,6 +101,59 @@ def test_sparse_sites_shrink_to_the_level_above(spark):
     assert abs(got["poor", "q"]["__quality_path"] - got["poor", "q"]["__quality_host"]) < abs(got["poor", "q"]["__quality_path"] - rate)
 
 
+def shrunk(groups, column):
+    """Rate, host and path posteriors of ``groups{(host, path): [probabilities]}`` by plain arithmetic."""
+    p = {g: np.array([x[column] for x in v]) for g, v in groups.items()}
+    rate = float(np.clip(np.concatenate([*p.values()]).mean(), 1e-4, 1 - 1e-4))
+
+    def strength(k, n, above):
+        k, n, above = map(np.asarray, (k, n, above))
+        spread, noise, inner = (n * (k / n - above) ** 2).sum(), (above * (1 - above)).sum(), (n * above * (1 - above)).sum()
+        return min(10_000.0, max(1.0, (inner / n.sum()) / max((spread - noise) / n.sum(), 1e-9)))
+
+    names = sorted({h for h, _ in p}, key=str)
+    hn = {h: sum(len(v) for g, v in p.items() if g[0] == h) for h in names}
+    hk = {h: sum(v.sum() for g, v in p.items() if g[0] == h) for h in names}
+    w = strength([hk[h] for h in names], [hn[h] for h in names], [rate] * len(names))
+    host = {h: (hk[h] + w * rate) / (hn[h] + w) for h in names}
+    groups = [*p]
+    w = strength([p[g].sum() for g in groups], [len(p[g]) for g in groups], [host[g[0]] for g in groups])
+    return rate, host, {g: (p[g].sum() + w * host[g[0]]) / (len(p[g]) + w) for g in groups}
+
+
+def test_scores_against_plain_arithmetic(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = Q.train(docs, labels)
+    rows = docs.collect()
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    odds = {r["doc_id"]: model.log_odds((r["text"] or "").encode()) for r in rows}
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["source"], r["lang"]), []).append([sig(x) for x in odds[r["doc_id"]]])
+    sites = [shrunk(groups, i) for i in range(2)]
+    site = {r["doc_id"]: (r["source"], r["lang"]) for r in rows}
+    got = Q.quality_scores(docs, labels, model=model).collect()
+    assert len(got) == len(rows)
+    logit = lambda x: np.log(x / (1 - x))
+    for r in got:
+        g = site[r["doc_id"]]
+        q, t = (float(sig(odds[r["doc_id"]][i] + logit(sites[i][2][g]) - logit(sites[i][0]))) for i in range(2))
+        want = (q, t, sites[0][1][g[0]], sites[0][2][g])
+        assert np.allclose([r["quality"], r["toxic"], r["host_quality"], r["path_quality"]], want, atol=1e-9)
+        assert r["keep"] == (q >= 0.5 and t < 0.5)
+
+
+def test_columns_of_any_name_are_kept(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"__quality": F.lit(1), "__keep": F.lit("x"), "host": F.lit(2), "__h": F.lit(3)})
+    model = Q.train(docs, labels)
+    got = Q.kept(docs, labels, model=model)
+    plain = Q.quality_scores(docs, labels, model=model).where("keep")
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in plain.collect()}
+    assert {(r["__quality"], r["__keep"], r["host"], r["__h"]) for r in got.collect()} == {(1, "x", 2, 3)}
+
+
 def test_quality_edge_cases(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,32 +30,56 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _remove(path: str) -> None:
-    session = SparkSession.getActiveSession()
-    if session is None:
-        return
-    try:
-        jvm = session.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch space
-        pass
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the driver's JVM ends, whether or not the session was stopped before."""
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
 
-def remove_at_exit(path: str) -> None:
-    atexit.register(_remove, path)
+
+_opened: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``stored`` inside go when the block ends: for blocks that write out what they have made."""
+    _opened.append([])
+    try:
+        yield
+    finally:
+        for path in _opened.pop():
+            remove(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
 
-    The table is removed when the driver's process ends.
+    The table is removed at the end of the ``scratch`` block around it, if there is one, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{work_root(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    remove_at_exit(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _opened:
+        _opened[-1].append(path)
+    remove_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidelog_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a stored table that nothing will read again."""
+    remove(df.sparkSession, df._tidelog_path)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -82,6 +106,32 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+class Recent:
+    """A worker's memory of what it has worked out, for words mostly: at most about ``2 * most`` entries.
+
+    When the young generation is full it becomes the old one, which is forgotten when the next is full; an entry that is
+    used again comes back to the young one. Frequent words stay, whatever the number of rare ones.
+    """
+
+    __slots__ = ("most", "old", "young")
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def unknown(self, keys: Iterable) -> list:
+        """Which of the keys are to be worked out and ``put``; all others are in ``young`` until the next call."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = []
+        for k in set(keys).difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                out.append(k)
+        return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else: ``lower`` alone would also change other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

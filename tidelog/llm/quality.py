@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import emit, stored, texts_of
+from tidelog.llm.common import Recent, emit, stored, texts_of
 
 #: Labelled rows that the classifiers are fitted to, at most about; a parameter of ``train``.
 SAMPLE = 8000
@@ -30,6 +30,8 @@ WORDS = 256
 SITES_BROADCAST = 500_000
 #: Log odds of one document's text count within these.
 CLIP = 12.0
+#: Words that a worker remembers the features of; see ``Recent``.
+REMEMBERED = 100_000
 
 _JUNK = re.compile(rb"[^\sA-Za-z0-9.,;:'\"()\-\x80-\xff]")
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -109,7 +111,7 @@ class Classifier:
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "place", {int(f): i for i, f in enumerate(self.words)})
-        object.__setattr__(self, "seen", {})  # a worker's memory of words
+        object.__setattr__(self, "seen", Recent(REMEMBERED))
 
     def log_odds(self, text: bytes) -> tuple[float, float]:
         x = (np.array(shape(text)) - self.mean) / self.scale
@@ -117,13 +119,12 @@ class Classifier:
         q = float(z @ self.quality)
         words = _WORD.findall(text.lower())
         tally: Counter[int] = Counter()
-        for w, c in Counter(words).items():
-            used = self.seen.get(w)
-            if used is None:
-                if len(self.seen) > 500_000:
-                    self.seen.clear()
-                self.seen[w] = used = tuple(self.place[f] for f in features_of(w) if f in self.place)
-            for f in used:
+        times = Counter(words)
+        for w in self.seen.unknown(times):
+            self.seen.young[w] = tuple(self.place[f] for f in features_of(w) if f in self.place)
+        known = self.seen.young
+        for w, c in times.items():
+            for f in known[w]:
                 tally[f] += c
         t = float(self.toxic[-1]) + sum(self.toxic[f] * weight(c, len(words)) for f, c in tally.items())
         return float(np.clip(q, -CLIP, CLIP)), float(np.clip(t, -CLIP, CLIP))
@@ -196,18 +197,22 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
     return fit(got["q"].to_numpy().astype(float), got["t"].to_numpy().astype(float), flat, chosen, m)
 
 
-def with_evidence(docs: DataFrame, model: Classifier, *, text_col: str = "text", quality: str = "__quality", toxic: str = "__toxic") -> DataFrame:
-    """All columns of ``docs``, and the log odds of the text alone in two more."""
+def with_evidence(docs: DataFrame, model: Classifier, *, text_col: str = "text", quality: str = "__quality", toxic: str = "__toxic", keep_text: bool = True) -> DataFrame:
+    """All columns of ``docs``, the text only if wanted, and the log odds of the text alone in two more; stored, so that each
+    text is scored once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
+    names = [c for c in docs.columns if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             odds = [sent.value.log_odds(t) for t in texts_of(batch, text_col)]
-            cols = [*batch.columns, pa.array([q for q, _ in odds], pa.float64()), pa.array([t for _, t in odds], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, quality, toxic])
+            cols = [*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array([q for q, _ in odds], pa.float64()), pa.array([t for _, t in odds], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, quality, toxic])
 
-    schema = docs.select("*").schema.add(quality, "double").add(toxic, "double")
-    return docs.mapInArrow(run, schema)
+    schema = docs.select(*(f"`{c}`" for c in names)).schema.add(quality, "double").add(toxic, "double")
+    out = stored(docs.mapInArrow(run, schema), "evidence")
+    sent.unpersist()
+    return out
 
 
 def sigmoid(x: Column) -> Column:
@@ -251,26 +256,36 @@ def site_posteriors(evidence: DataFrame, *, columns: tuple[str, ...] = ("__quali
     return stored(out.select("host", "path", *keep), "site-posteriors")
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, model: Classifier | None = None, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and, under names that start with ``__``, the evidence, the posteriors and ``__keep``.
+def judged(docs: DataFrame, labels: DataFrame, *, model: Classifier | None = None, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """All columns of ``docs``, without the text if so wanted, and, under names that start with ``__``, the evidence, the
+    posteriors and ``__keep``. No column of ``docs`` may start so.
 
     ``host`` and ``path`` default to the columns ``source`` and ``lang``. Null sites are a site like any other. Null text
-    counts as empty. Kept: rows whose quality is likelier than not and whose toxicity is not.
+    counts as empty. Kept: rows whose quality is likelier than not and whose toxicity is not. Texts are scored once, into a
+    stored table; sites' sums and the join of their posteriors read that.
     """
     model = model or train(docs, labels, id_col=id_col, text_col=text_col)
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    sited = with_evidence(docs.select(host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text")), model)
-    sites = site_posteriors(sited.select("host", "path", "__quality", "__toxic"))
-    sites = sites.withColumnsRenamed({"host": "__host", "path": "__path"})
-    rows = with_evidence(docs, model, text_col=text_col)
+    placed = docs.withColumns({"__host": host.cast("string"), "__path": path.cast("string")})
+    rows = with_evidence(placed, model, text_col=text_col, keep_text=keep_text)
+    sites = site_posteriors(rows.select(F.col("__host").alias("host"), F.col("__path").alias("path"), "__quality", "__toxic"))
+    sites = sites.withColumnsRenamed({"host": "__h", "path": "__p"})
     if sites.count() <= SITES_BROADCAST:
         sites = F.broadcast(sites)
-    both = rows.join(sites, host.cast("string").eqNullSafe(F.col("__host")) & path.cast("string").eqNullSafe(F.col("__path")), "left")
+    both = rows.join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")), "left")
     for c in ("__quality", "__toxic"):
         site = logit(F.col(f"{c}_path")) - logit(F.col(f"{c}_rate"))
         both = both.withColumn(f"{c}_posterior", sigmoid(F.col(c) + site))
-    return both.withColumn("__keep", (F.col("__quality_posterior") >= 0.5) & (F.col("__toxic_posterior") < 0.5))
+    return both.withColumn("__keep", (F.col("__quality_posterior") >= 0.5) & (F.col("__toxic_posterior") < 0.5)).drop("__h", "__p")
+
+
+def kept(docs: DataFrame, labels: DataFrame, **what: object) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with their columns, whatever these are called."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    columns = {"text_col": names["text"], "id_col": names["doc_id"], "host": F.col(names["source"]), "path": F.col(names["lang"])}
+    rows = judged(docs.toDF(*names.values()), labels, **columns, **what)
+    return rows.where("__keep").select(*(F.col(new).alias(old) for old, new in names.items()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, model: Classifier | None = None, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,8 +294,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, model: Classifier | No
     Rows with null or repeated ids are judged each by itself; an empty table gives no rows; without labels everything that
     is not toxic by the prior is kept. Other columns are not used.
     """
-    rows = judged(docs, labels, model=model, host=host, path=path, id_col=id_col, text_col=text_col)
+    model = model or train(docs, labels, id_col=id_col, text_col=text_col)
+    host = F.col("source") if host is None else host
+    path = F.col("lang") if path is None else path
+    used = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
+    rows = judged(used, labels, model=model, host=F.col("host"), path=F.col("path"), keep_text=False)
     return rows.select(
-        id_col, F.col("__quality_posterior").alias("quality"), F.col("__toxic_posterior").alias("toxic"), sigmoid(F.col("__quality")).alias("doc_quality"),
+        F.col("id").alias(id_col), F.col("__quality_posterior").alias("quality"), F.col("__toxic_posterior").alias("toxic"), sigmoid(F.col("__quality")).alias("doc_quality"),
         sigmoid(F.col("__toxic")).alias("doc_toxic"), F.col("__quality_host").alias("host_quality"), F.col("__quality_path").alias("path_quality"), F.col("__keep").alias("keep"),
     )
