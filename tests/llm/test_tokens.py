@@ -1,6 +1,7 @@
 """Token counts and packing against the library and brute force."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -92,3 +93,15 @@ def test_pack_round_trip(spark):
         assert at <= 2048
     assert len(by) == -(-sum(w[3] for w in want) // 2048)
     assert P.pack(docs.limit(0), vocabulary=PATH).count() == 0
+
+
+def test_long_words_are_counted_as_the_library_does():
+    rng = np.random.default_rng(8)
+    counter = T.TokenCounter(PATH)
+    words = ["".join(rng.choice(list("abcdest"), n)) for n in (127, 128, 129, 130, 1000, 20_000, 300_000)]
+    words += ["a" * 1001, "ab" * 700 + "a" * 33, "na" * 5001, "é" * 3000, "日本語" * 900, "!" * 500 + "a" * 300]
+    start = time.perf_counter()
+    got = counter.count([w.encode() for w in words])
+    assert time.perf_counter() - start < 5
+    assert got == [len(library().encode(w, add_special_tokens=False).ids) for w in words]
+    assert counter.count([" ".join(words).encode()]) == [sum(got)]

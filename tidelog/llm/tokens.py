@@ -3,11 +3,13 @@
 Two things live here. ``WordSplit`` cuts a text into pre-tokens exactly as the library does. ``RankMerger`` counts the
 tokens of pre-tokens by rank-synchronous array merging: all pre-tokens of a batch lie in one ragged numpy array of
 symbols, in each round every sequence merges its own lowest-rank pair, at once for all sequences, and the symbols that
-survive are counted.
+survive are counted. Rounds over the whole array would be many for a long sequence, so sequences above ``LONG`` symbols lie
+in a linked array of their own, where a round visits only the places that hold the lowest rank and those next to them.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -18,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import texts_of
+from tidelog.llm.common import Recent, texts_of
 
 #: Characters on which this module's splitting and the library's provably agree: printable ASCII, ASCII white space and
 #: the precomposed letters U+00C0 to U+017F but for the two signs in between and the dotted capital I.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-įıĲ-ſ]*")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-zß-öø-ſ0-9]+")
-#: Chunks that a worker remembers before it starts anew; a bound on memory, not on what is counted.
-CACHE = 1_000_000
+#: Chunks that a worker remembers, and the longest that it does; bounds on memory, not on what is counted.
+REMEMBERED, LONGEST = 100_000, 100
+#: Symbols above which a sequence is merged in the linked array.
+LONG = 128
 
 
 def public_path(name: str) -> str:
@@ -100,9 +104,77 @@ class RankMerger:
     def merge(self, words: list[str]) -> list[list[int]]:
         """Surviving symbols of each pre-token (byte alphabet; none is empty)."""
         first = [self.symbols(w) for w in words]
+        out: list[list[int]] = [[] for _ in words]
+        for merge, chosen in ((self._short, [i for i, x in enumerate(first) if len(x) <= LONG]), (self._linked, [i for i, x in enumerate(first) if len(x) > LONG])):
+            if chosen:
+                for i, x in zip(chosen, merge([first[i] for i in chosen]), strict=True):
+                    out[i] = x
+        return out
+
+    def _linked(self, first: list[list[int]]) -> list[list[int]]:
+        """Long sequences in one linked array: the lowest rank's places merge, their neighbours get new ranks."""
+        sizes = np.array([len(x) for x in first], dtype=np.int64)
+        sym = np.fromiter((s for x in first for s in x), dtype=np.int64, count=int(sizes.sum()))
+        n = len(sym)
+        seq = np.repeat(np.arange(len(first)), sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[np.cumsum(sizes) - 1] = n  # the place behind the last one ends every sequence
+        before[np.r_[0, np.cumsum(sizes)[:-1]]] = -1
+        ends = np.r_[sym, -1]  # a pair with the end is none
+        after = np.r_[after, n]
+        place = np.full(n, -1)  # of each position's pair in the table of merges, -1 for none
+        alive = np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def rank(at: np.ndarray) -> None:
+            right = ends[after[at]]
+            code = ends[at] * self.size + right
+            found = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            place[at] = np.where((self.codes[found] == code) & (right >= 0), found, -1)
+            at = at[place[at] >= 0]
+            if not len(at):
+                return
+            at = at[np.argsort(self.ranks[place[at]], kind="stable")]
+            own = self.ranks[place[at]]
+            cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
+                r = int(own[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(at[a:b])
+
+        rank(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            parts = waiting.pop(r)
+            pos = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+            pos = pos[alive[pos] & (place[pos] >= 0)]
+            pos = pos[self.ranks[place[pos]] == r]
+            if not len(pos):
+                continue
+            if len(pos) > 1:  # runs of overlapping pairs (a a a): every other one merges, from the left
+                fresh = np.r_[True, after[pos[:-1]] != pos[1:]]
+                run = np.maximum.accumulate(np.where(fresh, np.arange(len(pos)), 0))
+                pos = pos[(np.arange(len(pos)) - run) % 2 == 0]
+            gone = after[pos]
+            ends[pos] = self.made[place[pos]]
+            alive[gone] = False
+            after[pos] = after[gone]
+            last = after[pos] < n
+            before[after[pos][last]] = pos[last]
+            left = before[pos]
+            rank(np.unique(np.r_[pos, left[left >= 0]]))
+        sym, seq = ends[:n][alive], seq[alive]
+        cuts = np.searchsorted(seq, np.arange(len(first) + 1))
+        return [sym[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _short(self, first: list[list[int]]) -> list[list[int]]:
+        """Short sequences in one ragged array, all at once in every round."""
         sizes = np.array([len(x) for x in first], dtype=np.int64)
         sym = np.fromiter((s for x in first for s in x), dtype=np.int64, count=int(sizes.sum()))
-        seq = np.repeat(np.arange(len(words)), sizes)
+        seq = np.repeat(np.arange(len(first)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
             code = sym[:-1] * self.size + sym[1:]
@@ -137,7 +209,7 @@ class RankMerger:
             gone = np.zeros(len(sym), dtype=bool)
             gone[pos + 1] = True
             sym, seq = sym[~gone], seq[~gone]
-        out: list[list[int]] = [[] for _ in words]
+        out: list[list[int]] = [[] for _ in first]
         for s, v in done:
             cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             for a, b in zip(cuts, np.r_[cuts[1:], len(s)], strict=True):
@@ -153,20 +225,16 @@ class TokenCounter:
 
     def __init__(self, path: str) -> None:
         self.split, self.merger = WordSplit(path), RankMerger(path)
-        self.seen: dict[bytes, int | None] = {}
+        self.seen = Recent(REMEMBERED)
 
     def count(self, texts: list[bytes]) -> list[int]:
         """A group of texts at a time, so that all their new pre-tokens merge in one ragged array."""
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        seen = self.seen
         parts = [t.lower().split() for t in texts]
-        fresh: set[bytes] = set()
-        for chunks in parts:
-            fresh |= set(chunks).difference(seen)
+        fresh = self.seen.unknown(c for chunks in parts for c in chunks)
         new = {c: self.split.words(c) for c in fresh}
         words = list({w for ws in new.values() if ws for w in ws})
         size = dict(zip(words, self.merger.counts([self.merger.in_bytes(w) for w in words]), strict=True))
+        seen = self.seen.young
         seen.update((c, None if ws is None else sum(map(size.__getitem__, ws))) for c, ws in new.items())
         out = []
         for text, chunks in zip(texts, parts, strict=True):
@@ -175,6 +243,9 @@ class TokenCounter:
             except TypeError:  # None: a chunk that is not plain
                 rest, extra = self.split.other(text.decode("utf-8", "replace"))
                 out.append(sum(self.merger.counts(rest)) + extra)
+        for c in fresh:
+            if len(c) > LONGEST:
+                del seen[c]
         return out
 
 
@@ -223,13 +294,12 @@ def token_counts(docs: DataFrame, *, vocabulary: str, limit: int = 2048, id_col:
 def id_bytes(path: str) -> Callable[[bytes], bytes]:
     """A function from a UTF-8 text to its ids, as little-endian 32-bit words, by the library.
 
-    The library's model encodes the pre-tokens of each plain chunk once and the ids are remembered (``CACHE`` chunks at
-    most); a text with any other chunk goes to the library whole.
+    The library's model encodes the pre-tokens of each plain chunk and the ids of frequent chunks are remembered; a text with any other chunk goes to the library whole.
     """
     split = WordSplit(path)
     letters = byte_alphabet()
     encode = split.library.model.tokenize
-    seen: dict[bytes, bytes | None] = {}
+    seen = Recent(REMEMBERED)
 
     def chunk_ids(chunk: bytes) -> bytes | None:
         words = split.words(chunk)
@@ -239,17 +309,18 @@ def id_bytes(path: str) -> Callable[[bytes], bytes]:
 
     def ids(text: bytes) -> bytes:
         chunks = text.lower().split()
-        new = set(chunks).difference(seen)
-        if new:
-            if len(seen) > CACHE:
-                seen.clear()
-                new = set(chunks)
-            for c in new:
-                seen[c] = chunk_ids(c)
+        new = seen.unknown(chunks)
+        known = seen.young
+        for c in new:
+            known[c] = chunk_ids(c)
         try:
-            return b"".join(map(seen.__getitem__, chunks))
+            return b"".join(map(known.__getitem__, chunks))
         except TypeError:
             found = split.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
             return np.array(found, dtype="<u4").tobytes()
+        finally:
+            for c in new:
+                if len(c) > LONGEST:
+                    del known[c]
 
     return ids
