@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import emit, stored, texts_of
+from tidelog.llm.common import Recent, emit, stored, texts_of
 
 #: Distinct terms that one task counts before it hands the counts on.
 FLUSH = 500_000
-#: Terms that a worker remembers the hash of.
-CACHE = 500_000
+#: Terms that a worker remembers the hash of; see ``Recent``.
+REMEMBERED = 100_000
 #: Documents of one bucket in the order of ids, about, and buckets at most.
 BUCKET, BUCKETS = 2000, 20_000
 #: Bytes that a part of a fingerprint takes, and a part without terms.
@@ -100,16 +100,13 @@ class Printer:
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon, (self.odd, self.share) = lexicon, lexicon.parts()
-        self.seen: dict[bytes, int] = {}
+        self.seen = Recent(REMEMBERED)
 
     def hashes(self, terms: set[bytes]) -> np.ndarray:
         """Sorted hashes of those terms that the lexicon has."""
-        seen = self.seen
-        new = list(terms.difference(seen))
+        new = self.seen.unknown(terms)
+        seen = self.seen.young
         if new:
-            if len(seen) > CACHE:
-                seen.clear()
-                new = list(terms)
             h = np.array([xxhash.xxh64_intdigest(t) for t in new], dtype=np.uint64)
             if len(self.lexicon.terms):
                 at = np.minimum(np.searchsorted(self.lexicon.terms, h), len(self.lexicon.terms) - 1)

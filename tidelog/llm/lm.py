@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import OUT_ROWS, emit, stored, texts_of
 
 HEAD = 100_000
-FLUSH = 400_000
+FLUSH = 200_000
 ROUNDS = 2
 SPACE = "▁"
 END = b""
