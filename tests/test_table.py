@@ -245,3 +245,85 @@ def test_transactions_flush_to_a_table(spark, tmp_path):
     t.commit(a)
     t.flush(table, lambda k, v: (k, v))
     assert seen(table) == [(1, 10), (3, 30)]
+
+
+def test_two_keys_rewrite_two_files(spark, tmp_path):
+    t = KeyedTable.create(spark, f"{tmp_path}/t", KEY, SCHEMA, Options(part_min=5, part_max=10, disk_max=100_000, unsafe=True))
+    t.append(spark.range(100).selectExpr("cast(id as int) AS key", "cast(id as int) AS value"))
+    t.evict()
+    before = {p.path for p in t.manifest().disk.parts}
+    assert len(before) >= 10
+    t.append(batch(spark, [(0, -1), (99, -2)]))
+    t.evict()
+    parts = t.manifest().disk.parts
+    assert len(before & {p.path for p in parts}) == len(before) - 2
+    assert seen(t) == [(0, -1), *((i, i) for i in range(1, 99)), (99, -2)] and t.count() == 100
+    assert all(p.high - p.low <= 20 for p in parts)  # no file reaches over those carried
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp", "date", "double"])
+def test_merges_of_other_keys(spark, tmp_path, kind):
+    make = {"string": "lpad(string(id), 3, '0')", "timestamp": "timestamp_seconds(id * 86400)", "date": "date_add(date'2020-01-01', cast(id as int))", "double": "cast(id as double)"}[kind]
+    rows = spark.range(60).selectExpr(f"{make} AS key", "cast(id as int) AS value")
+    t = KeyedTable.create(spark, f"{tmp_path}/t", KEY, rows.schema, Options(part_min=5, part_max=10, disk_max=100_000, unsafe=True))
+    t.append(rows)
+    t.evict()
+    before = {p.path for p in t.manifest().disk.parts}
+    t.append(rows.where("value = 5").selectExpr("key", "-1 AS value"))
+    t.append(spark.createDataFrame([(None, 7)], f"key {kind}, value int"))
+    t.evict()
+    assert sorted(r["value"] for r in t.view().collect()) == sorted([-1, 7, *(i for i in range(60) if i != 5)])
+    assert kind == "double" or len(before & {p.path for p in t.manifest().disk.parts}) >= len(before) - 3
+
+
+def test_tombstones_of_carried_files_are_counted(spark, tmp_path):
+    t = KeyedTable.create(spark, f"{tmp_path}/t", KEY, SCHEMA, SMALL)
+    t.append(batch(spark, [(i, i) for i in range(12)]))
+    t.evict()  # above disk_max: to the bottom
+    t.append(batch(spark, [(i, None) for i in range(4)]))
+    t.evict()
+    t.append(batch(spark, [(i, None) for i in range(4, 12)] + [(50, 1)]))
+    t.evict()
+    while len(t.manifest().bottom) > 1:
+        t.merge_bottom(0, len(t.manifest().bottom) - 1)
+    t.append(batch(spark, [(60, 1)]))
+    assert t.count() == t.view().count()
+    t.evict()
+    assert t.count() == t.view().count() == 2
+
+
+def test_bottom_merge_carries_files_apart(spark, tmp_path):
+    t = KeyedTable.create(spark, f"{tmp_path}/t", KEY, SCHEMA, SMALL)
+    for low in (0, 100, 5):
+        t.append(batch(spark, [(low + i, low) for i in range(12)]))
+        t.evict()
+    apart = {p.path for s in t.manifest().bottom for p in s.parts if p.low >= 100}
+    want = seen(t)
+    assert len(t.manifest().bottom) == 3 and t.merge_bottom(0, 2) == "success"
+    m = t.manifest()
+    assert len(m.bottom) == 1 and apart <= {p.path for p in m.bottom[0].parts} and seen(t) == want
+
+
+def test_nothing_is_lost_in_large_appends(spark, tmp_path):
+    n = 2_000_000
+    rows = spark.range(n).selectExpr("cast(id * 7919 % 1000003 as int) AS key", "concat(repeat('x', 60), id) AS value")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        t = KeyedTable.create(spark, f"{tmp_path}/t", KEY, rows.schema)
+        assert t.append(rows) == n
+        r = t.log().selectExpr("count(*)", f"count(distinct {OP})", f"min({OP})", f"max({OP})").first()
+        assert tuple(r) == (n, n, 1, n) and t.view().count() == 1000003
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_a_version_is_published_once(spark, tmp_path):
+    from tidelog.sources.files import Files
+
+    files = Files(spark, str(tmp_path))
+    for path in (f"{tmp_path}/m/v1.json", f"file://{tmp_path}/m/v2.json"):
+        files.write_new(path, "one")
+        with pytest.raises(CommitConflictError):
+            files.write_new(path, "two")
+        assert files.read(path) == "one"
+    assert files.names(f"{tmp_path}/m") == ["v1.json", "v2.json"]

@@ -163,3 +163,84 @@ def test_options_are_checked():
         with pytest.raises(InvalidOptionError):
             Options(**bad).checked()
     assert Options(mutable_max=10, unsafe=True).checked().clone(mutable_max=11).mutable_max == 11
+
+
+def test_ordinals_over_many_ranges(spark, monkeypatch):
+    from tidelog.operators import ranks
+
+    monkeypatch.setattr(ranks, "PART_ROWS", 500)
+    df = spark.range(20_000).selectExpr("if(id % 17 = 0, null, id * 31 % 997) AS key", "string(id % 5) AS s", "id AS __part")
+    for key in (KeySpec.of("key", "s"), KeySpec.of(KeyColumn("key", ascending=False), "s"), KeySpec.of("s", KeyColumn("key", ascending=False))):
+        got = R.ordinals(df, key).orderBy("ordinal").collect()
+        assert [r["ordinal"] for r in got] == list(range(20_000))
+        assert [(r["key"], r["s"]) for r in got] == [(r["key"], r["s"]) for r in df.orderBy(*key.order()).collect()]
+    ops = X.assign_ops(df, 100, (F.col("key"), False), "s").collect()
+    assert sorted(r[OP] for r in ops) == list(range(100, 20_100))
+    hot = spark.range(5000).selectExpr("1 AS key", "id")
+    assert sorted(r["ordinal"] for r in R.ordinals(hot, KEY).collect()) == list(range(5000))
+
+
+def test_seeks_follow_the_keys_order(spark):
+    nan = float("nan")
+    cases = [
+        ("key double", [nan, 1.0, 2.0, None, -1.0, float("inf")], KeyColumn("key", nan_first=True)),
+        ("key double", [nan, 1.0, 2.0, None, -1.0], KeyColumn("key")),
+        ("key double", [nan, 1.0, 2.0, None, -1.0], KeyColumn("key", ascending=False, nan_first=True)),
+        ("key string", ["", "\U00010000", "a", "", None], KeyColumn("key", utf16=True)),
+        ("key string", ["", "\U00010000", "a", "", None], KeyColumn("key", ascending=False)),
+        ("key binary", [b"a", b"ab", b"abc", b"b", b"", None], KeyColumn("key", longer_first=True)),
+        ("key binary", [b"a", b"ab", b"abc", b"b", b"", None], KeyColumn("key", ascending=False, longer_first=True)),
+        ("key string", ["b", "A", "c", None], KeyColumn("key", collation="UTF8_LCASE")),
+    ]
+    same = lambda a, b: a == b or (a != a and b != b)
+    for schema, values, column in cases:
+        key, df = KeySpec.of(column), spark.createDataFrame([(v,) for v in values], schema)
+        forward, back = ([r[0] for r in R.scan(df, key, reverse=x).collect()] for x in (False, True))
+        assert all(same(a, b) for a, b in zip(forward, reversed(back), strict=True)), column
+        for order, reverse in ((forward, False), (back, True)):
+            for i, v in enumerate(order):
+                got = [r[0] for r in R.seek(df, key, [v], reverse=reverse).collect()]
+                assert len(got) == len(order) - i and all(same(a, b) for a, b in zip(got, order[i:], strict=True)), (column, v, got)
+                assert len(R.after(df, key, [v], reverse=reverse).collect()) == len(order) - i - 1
+                assert R.one(df, key, [v]).count() == 1
+
+
+def test_as_of_joins_in_key_order(spark):
+    import datetime
+
+    day = lambda i: datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=i)
+    kinds = [("string", lambda i: f"k{i:04d}"), ("timestamp", day), ("double", lambda i: float(i) if i % 50 else float("nan")), ("decimal(9,2)", lambda i: __import__("decimal").Decimal(i))]
+    for kind, make in kinds:
+        keys = spark.createDataFrame([(make(i),) for i in range(0, 600, 3)] + [(None,)], f"v {kind}")
+        probes = spark.createDataFrame([(make(i), i) for i in range(1, 300, 7)] + [(None, -1)], f"v {kind}, found int")
+        for column in (KeyColumn("v"), KeyColumn("v", ascending=False)):
+            order = [r[0] for r in keys.where("v is not null").distinct().orderBy(*KeySpec.of(column).order()).collect()]
+            rank = {r["v"]: r["ordinal"] for r in R.ordinals(keys.union(probes.select("v")).where("v is not null").distinct(), KeySpec.of(column)).collect()}
+            for bands in (1, 7, 90):
+                low = {r["found"]: r["floor_key"] for r in R.floor_join(keys, probes, key=column, probe="v", bands=bands).collect()}
+                high = {r["found"]: r["ceiling_key"] for r in R.ceiling_join(keys, probes, key=column, probe="v", bands=bands).collect()}
+                assert len(low) == probes.count() and low[-1] is None and high[-1] is None
+                if kind == "double":
+                    continue  # NaN is no key of a dictionary
+                for r in probes.where("v is not null").collect():
+                    before = [k for k in order if rank[k] <= rank[r["v"]]]
+                    after = [k for k in order if rank[k] >= rank[r["v"]]]
+                    assert low[r["found"]] == (before[-1] if before else None) and high[r["found"]] == (after[0] if after else None)
+
+
+def test_updates_see_earlier_ones(spark):
+    view = spark.createDataFrame([(1, 10), (None, 3)], "key int, value int")
+    batch = spark.createDataFrame([(1, 5, 1), (1, 7, 2), (2, 1, 3), (None, 4, 4), (2, 2, 5)], f"key int, gain int, {OP} long")
+    gain = lambda old, r: {"value": old["value"] + r["gain"]}
+    got = sorted((r[OP], r["old_value"], r["value"]) for r in X.get_and_update(view, batch, KEY, gain).collect())
+    assert got == [(1, 10, 15), (2, 15, 22), (4, 3, 7)]
+    both = {r[OP]: r for r in X.apply_in_order(view, batch, KEY, gain, add=lambda r: {"value": 100}).collect()}
+    assert [both[i]["result"] for i in range(1, 6)] == ["Updated", "Updated", "Added", "Updated", "Updated"]
+    assert both[5]["value"] == 102 and both[3]["returned"] and X.get_and_update(view, batch.limit(0), KEY, gain).count() == 0
+
+
+def test_multi_get_keeps_both_of_equal_names(spark):
+    view = spark.createDataFrame([(1, "v")], "key int, value string")
+    keys = spark.createDataFrame([(1, "k", True), (2, "l", False)], "key int, value string, found boolean")
+    got = sorted(R.multi_get(view, keys, KEY).collect())
+    assert [(r["key"], r["value"], r["view_value"], r["found"]) for r in got] == [(1, "k", "v", True), (2, "l", None, False)]

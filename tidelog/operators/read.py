@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.spec import DELETED, LAYER, OP, KeySpec
+from tidelog.operators.ranks import Cuts, unused, with_places
+from tidelog.spec import DELETED, LAYER, OP, KeyColumn, KeySpec
 
 #: Keys of one band of an as-of join; see ``floor_join``.
 BAND_ROWS = 100_000
+#: Keys of a lookup that are broadcast at most; more are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def scan(view: DataFrame, key: KeySpec, *, reverse: bool = False) -> DataFrame:
@@ -64,6 +68,14 @@ def with_prefix(view: DataFrame, column: str, prefix: str) -> DataFrame:
     return found.where(F.col(column) < high) if high is not None else found
 
 
+def only_keys(log: DataFrame, keys: DataFrame, key: KeySpec, *, rows: int | None = None) -> DataFrame:
+    """The records of some keys: what a lookup of few keys should aggregate. Keys are broadcast up to a checked number."""
+    wanted = keys.select(*key.names).distinct()
+    n = wanted.count() if rows is None else rows
+    on = [log[k].eqNullSafe(wanted[k]) for k in key.names]
+    return log.join(F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted, on, "left_semi")
+
+
 def contains(view: DataFrame, keys: DataFrame, key: KeySpec) -> DataFrame:
     return keys.join(view.select(*key.names), key.names, "left_semi")
 
@@ -73,9 +85,12 @@ def missing(view: DataFrame, keys: DataFrame, key: KeySpec) -> DataFrame:
 
 
 def multi_get(view: DataFrame, keys: DataFrame, key: KeySpec) -> DataFrame:
-    """Values of many keys; a key that is not there has null values and ``found`` false."""
-    marked = view.drop(OP, DELETED, LAYER).withColumn("found", F.lit(True))
-    return keys.join(marked, key.names, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    """Values of many keys; a key that is not there has null values and ``found`` false. A value column whose name ``keys`` has
+    too comes out as ``view_<name>``."""
+    values = [c for c in view.columns if c not in (*key.names, OP, DELETED, LAYER)]
+    mark = unused(keys, "__found")
+    named = view.select(*key.names, *(F.col(c).alias(f"view_{c}" if c in keys.columns else c) for c in values), F.lit(True).alias(mark))
+    return keys.join(named, key.names, "left").withColumn("found", F.coalesce(mark, F.lit(False))).drop(mark)
 
 
 def one(view: DataFrame, key: KeySpec, values: Sequence) -> DataFrame:
@@ -90,57 +105,55 @@ def ceiling(view: DataFrame, key: KeySpec, values: Sequence) -> DataFrame:
     return seek(view, key, values).limit(1)
 
 
-def _as_of(keys: DataFrame, probes: DataFrame, key: str, probe: str, up: bool, bands: int | None) -> DataFrame:
-    """Greatest key at or below (``up`` false) or least at or above each probe value: distributed, without a range join.
+def _as_of(keys: DataFrame, probes: DataFrame, key: KeyColumn, probe: str, up: bool, bands: int | None, out: str) -> DataFrame:
+    """``probes`` and the greatest key at or before (``up`` false) or least at or after each probe value, in the key's order:
+    distributed, without a range join.
 
-    Values are cut into bands at quantiles of the keys. Within a band the answer is a running maximum over keys and probes in
-    order; where a band has no key yet, it is the nearest band's last (first) one, of which there is one row per band.
+    Values are cut into bands at fixed cuts of the keys. Within a band the answer is a running last key over keys and probes
+    in order; where a band has no key yet, it is the nearest band's last (first) one, of which there is one row per band.
     """
-    k = keys.select(F.col(key).alias("v")).where("v is not null").distinct()
-    p = probes.select(F.col(probe).alias("v")).where("v is not null").distinct()
-    n = k.count() if bands is None else 0
-    bands = bands or max(1, min(10_000, n // BAND_ROWS))
-    cuts = sorted(set(k.select(F.percentile_approx("v", [i / bands for i in range(1, bands)], 100_000)).first()[0] or [])) if bands > 1 else []
-    band = F.lit(0)
-    if cuts:
-        table = F.array(*(F.lit(c) for c in cuts)) if len(cuts) <= 64 else F.from_json(F.lit("[" + ",".join(map(str, cuts)) + "]"), f"array<{k.schema['v'].dataType.simpleString()}>")
-        band = F.size(F.filter(table, lambda c: c <= F.col("v")))
-    both = k.select("v", F.col("v").alias("key")).unionByName(p.select("v", F.lit(None).cast(k.schema["v"].dataType).alias("key"))).withColumn("band", band)
-    order = [F.col("v").asc(), F.col("key").asc_nulls_last()] if not up else [F.col("v").desc(), F.col("key").desc_nulls_last()]
-    here = F.last("key", ignorenulls=True).over(W.partitionBy("band").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    placed = both.withColumn("here", here).where("key is null").select("v", "band", "here")
-    ends = k.withColumn("band", band).groupBy("band").agg((F.min("v") if up else F.max("v")).alias("end"))
-    rows = {r["band"]: r["end"] for r in ends.collect()}  # one per band
-    carried, last = {}, None
-    for b in range(len(cuts) + 1) if not up else reversed(range(len(cuts) + 1)):
-        carried[b] = last
-        last = rows.get(b, last)
-    spark = keys.sparkSession
-    kind = k.schema["v"].dataType.simpleString()
-    edge = spark.createDataFrame([(b, v) for b, v in carried.items()], f"band int, edge {kind}")
-    out = placed.join(F.broadcast(edge), "band").select("v", F.coalesce("here", "edge").alias("found"))
-    return out
-
-
-def floor_join(view: DataFrame, probes: DataFrame, *, key: str, probe: str, out: str = "floor_key", bands: int | None = None) -> DataFrame:
-    """``probes`` with the greatest key of ``view`` at or below each probe; null if there is none."""
-    found = _as_of(view, probes, key, probe, False, bands)
-    return probes.join(found, probes[probe] == found["v"], "left").drop("v").withColumnRenamed("found", out)
-
-
-def ceiling_join(view: DataFrame, probes: DataFrame, *, key: str, probe: str, out: str = "ceiling_key", bands: int | None = None) -> DataFrame:
-    """``probes`` with the least key of ``view`` at or above each probe; null if there is none."""
-    found = _as_of(view, probes, key, probe, True, bands)
-    return probes.join(found, probes[probe] == found["v"], "left").drop("v").withColumnRenamed("found", out)
+    v, band, own = "__v", "__band", KeyColumn("__v", key.ascending, key.collation, key.nan_first, key.longer_first, key.utf16)
+    kind = keys.schema[key.name].dataType
+    k = keys.select(F.col(key.name).alias(v)).where(F.col(v).isNotNull()).distinct()
+    p = probes.select(F.col(probe).cast(kind).alias(v)).where(F.col(v).isNotNull()).distinct()
+    order = own.sort_keys()
+    if bands is None:
+        bands = max(1, min(10_000, k.count() // BAND_ROWS))
+    cuts = Cuts(k, order, parts=bands)
+    placed = cuts.numbered(k.withColumn("__k", F.lit(True)).unionByName(p.withColumn("__k", F.lit(False))), order, band)
+    # running from the first to the last, or back; of equal values the key comes first
+    way = [c.asc_nulls_first() if ascending != up else c.desc_nulls_last() for c, ascending in order]
+    here = F.last(F.when(F.col("__k"), F.col(v)), ignorenulls=True).over(W.partitionBy(band).orderBy(*way, F.col("__k").desc()).rowsBetween(W.unboundedPreceding, 0))
+    found = placed.withColumn("__here", here).where(~F.col("__k")).select(v, band, "__here")
+    if cuts.parts > 1:
+        last = W.partitionBy(band).orderBy(*([c.desc_nulls_last() if ascending != up else c.asc_nulls_first() for c, ascending in order]))
+        ends = placed.where("__k").withColumn("__n", F.row_number().over(last)).where("__n = 1").select(band, v)
+        rows = {r[band]: r[v] for r in ends.collect()}  # a row for each band
+        carried, edge = [], None
+        for b in reversed(range(cuts.parts)) if up else range(cuts.parts):
+            carried.append((b, edge))
+            edge = rows.get(b, edge)
+        edges = keys.sparkSession.createDataFrame(carried, T.StructType([T.StructField(band, T.IntegerType()), T.StructField("__edge", kind)]))
+        found = found.join(F.broadcast(edges), band).select(v, F.coalesce("__here", "__edge").alias("__here"))
+    name, answer = unused(probes, "__probe"), unused(probes, "__answer")
+    found = found.select(F.col(v).alias(name), F.col("__here").alias(answer))
+    joined = probes.join(found, probes[probe].cast(kind) == F.col(name), "left").drop(name)
+    return joined.select(*(F.col(f"`{c}`") for c in probes.columns if c != out), F.col(answer).alias(out))
+
+
+def floor_join(view: DataFrame, probes: DataFrame, *, key: str | KeyColumn, probe: str, out: str = "floor_key", bands: int | None = None) -> DataFrame:
+    """``probes`` with the last key of ``view`` at or before each probe in key order; null if there is none or the probe is null."""
+    return _as_of(view, probes, KeyColumn(key) if isinstance(key, str) else key, probe, False, bands, out)
+
+
+def ceiling_join(view: DataFrame, probes: DataFrame, *, key: str | KeyColumn, probe: str, out: str = "ceiling_key", bands: int | None = None) -> DataFrame:
+    """``probes`` with the first key of ``view`` at or after each probe in key order; null if there is none or the probe is null."""
+    return _as_of(view, probes, KeyColumn(key) if isinstance(key, str) else key, probe, True, bands, out)
 
 
 def ordinals(view: DataFrame, key: KeySpec, *, out: str = "ordinal") -> DataFrame:
-    """Each row's place in key order, from 0, dense: ranks within ranges of keys plus the sizes of the ranges before."""
-    ranged = view.repartitionByRange(*key.order()).sortWithinPartitions(*key.order())
-    ranged = ranged.select("*", F.spark_partition_id().alias("__part"))
-    ranged = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*key.order())))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(sizes.select("__part", "__before")), "__part").select(*view.columns, (F.col("__before") + F.col("__n") - 1).cast("long").alias(out))
+    """Each row's place in key order, from 0, dense."""
+    return with_places(view, key.sort_keys(), out=out)
 
 
 def sparse_index(view: DataFrame, key: KeySpec, step: int = 1024) -> DataFrame:

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidelog.spec import DELETED, LAYER, OP, IsDeleted, KeySpec, deleted_flag
+from tidelog.operators.ranks import unused, with_places
+from tidelog.spec import DELETED, LAYER, OP, IsDeleted, KeySpec, SortKey, deleted_flag
 
-Update = Callable[[dict[str, Column], dict[str, Column]], dict[str, Column]]
+#: Present values and a record, or a record alone, to the values to write; None writes nothing.
+Change = Callable[..., dict | None]
 
 
-def assign_ops(batch: DataFrame, start: int, *order: Column | str, out: str = OP) -> DataFrame:
-    """Dense operation indexes from ``start`` on, in the given order: ranks within ranges plus the sizes of ranges before."""
-    ranged = batch.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    sizes = sizes.select("__part", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    numbered = ranged.join(F.broadcast(sizes), "__part").withColumn(out, (F.lit(start) + F.col("__before") + F.col("__n") - 1).cast("long"))
-    return numbered.drop("__part", "__n", "__before")
+def assign_ops(batch: DataFrame, start: int, *order: Column | str | SortKey, out: str = OP) -> DataFrame:
+    """Dense operation indexes from ``start`` on, in the given order: ascending, or as ``(column, ascending)`` says."""
+    keys = [o if isinstance(o, tuple) else (F.col(o) if isinstance(o, str) else o, True) for o in order]
+    return with_places(batch, keys, start=start, out=out)
 
 
 def upsert(log: DataFrame, batch: DataFrame) -> DataFrame:
@@ -63,29 +64,65 @@ def force_delete(keys: DataFrame, like: DataFrame | None = None) -> DataFrame:
     return out.select(*like.columns) if like is not None else out
 
 
-def get_and_update(view: DataFrame, batch: DataFrame, key: KeySpec, update: dict[str, Column], *, when: Column | None = None) -> DataFrame:
-    """For keys that are there: old values as ``old_*``, whether a record is ``written``, and its values.
+def apply_in_order(view: DataFrame, batch: DataFrame, key: KeySpec, update: Change, *, add: Change | None = None) -> DataFrame:
+    """Read-modify-write of ``batch`` against ``view``, each key's records one after the other in order of operation.
 
-    Expressions see the view's columns as ``v.*`` and the batch's as ``b.*``. Where ``when`` is not true the updater declines:
-    the key is found and nothing is written, at operation 0.
+    ``update(values, record)`` gets the key's present values, those that earlier records of the batch left, and returns the
+    values to change, or None to write nothing. ``add(record)`` gives the values of a key that is not there, or None; without
+    it such keys are left alone. A row per record: key, the values before as ``old_*`` and after, ``result`` (``Added``,
+    ``Updated``, ``Cancelled``, ``NotFound``), ``returned`` (true for ``Added``), and the operation, 0 if nothing was written.
+
+    A key's records lie in one partition, sorted, and pass one by one: what is held is one record, however many there are.
+    Updates that commute belong in ``accumulate``, which sums up before the shuffle.
     """
-    v, b = view.drop(OP, DELETED, LAYER).alias("v"), batch.alias("b")
-    on = [F.col(f"v.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key.names]
-    joined = v.join(b, on)
-    written = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     values = [c for c in view.columns if c not in (*key.names, OP, DELETED, LAYER)]
-    return joined.select(
-        *(F.col(f"v.{k}").alias(k) for k in key.names), *(F.col(f"v.{c}").alias(f"old_{c}") for c in values),
-        *(F.when(written, update.get(c, F.col(f"v.{c}"))).otherwise(F.col(f"v.{c}")).alias(c) for c in values),
-        written.alias("written"), F.when(written, F.col(f"b.{OP}")).otherwise(F.lit(0)).cast("long").alias(OP), F.lit(False).alias(DELETED),
-    )
+    fields = [c for c in batch.columns if c not in (*key.names, OP, DELETED, LAYER)]
+    old = unused(view.select(*(F.lit(None).alias(f"old_{c}") for c in values), *values), "old") if any(f"old_{c}" in values for c in values) else "old"
+    v = view.select(*(F.col(k).alias(f"v{i}") for i, k in enumerate(key.names)), F.struct(*values).alias("__old"))
+    b = batch.select(*key.names, OP, F.struct(*fields, F.lit(True).alias("__record")).alias("__rec"))
+    on = [F.col(k).eqNullSafe(F.col(f"v{i}")) for i, k in enumerate(key.names)]
+    rows = b.join(v, on, "left").select(*key.names, OP, "__rec", "__old").repartition(*key.names).sortWithinPartitions(*key.names, OP)
+    names = key.names
+    schema = T.StructType([batch.schema[k] for k in names] + [T.StructField(f"{old}_{c}", view.schema[c].dataType) for c in values] + [T.StructField(c, view.schema[c].dataType) for c in values])
+    schema = schema.add("result", "string").add("returned", "boolean").add(OP, "long").add(DELETED, "boolean")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = None, None
+        for part in batches:
+            out = []
+            for r in part.to_pylist():
+                k = tuple("nan" if r[x] != r[x] else (r[x],) for x in names)
+                if k != held:
+                    held, now = k, r["__old"]
+                before = now or dict.fromkeys(values)
+                if now is None:
+                    new = add(r["__rec"]) if add else None
+                    result = "Added" if new is not None else "Cancelled" if add else "NotFound"
+                else:
+                    new = update(dict(now), r["__rec"])
+                    result = "Updated" if new is not None else "Cancelled"
+                if new is not None:
+                    now = before | new
+                row = {x: r[x] for x in names} | {f"{old}_{c}": before[c] for c in values} | (now or before)
+                out.append(row | {"result": result, "returned": result == "Added", OP: r[OP] if new is not None else 0, DELETED: False})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def get_and_update(view: DataFrame, batch: DataFrame, key: KeySpec, update: Change) -> DataFrame:
+    """For keys that are there: old values as ``old_*``, whether a record is ``written``, and its values; in order, so that a
+    key's second update sees what its first one wrote. Where ``update`` declines, nothing is written, at operation 0."""
+    found = apply_in_order(view, batch, key, update).where("result <> 'NotFound'")
+    return found.withColumn("written", F.col("result") == "Updated").drop("result", "returned")
 
 
 def fold(log: DataFrame, key: KeySpec, *, start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, out: str = "value") -> DataFrame:
     """Ordered read-modify-write of each key: its records in order of operation through ``step(acc, record)``.
 
-    A key's records meet in one row, so this is for updaters whose order matters; sums, counts and extremes belong in
-    ``accumulate``.
+    A key's records meet in one row, so this is for histories that fit there; ``apply_in_order`` has no such bound, and sums,
+    counts and extremes belong in ``accumulate``.
     """
     rest = [c for c in log.columns if c not in key.names and c != OP]
     ordered = F.sort_array(F.collect_list(F.struct(F.col(OP), *(F.col(c) for c in rest))))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.operators import read as R
 from tidelog.operators import recipes as C
 from tidelog.operators import write as X
 from tidelog.plans import view as V
-from tidelog.sources.table import merge_layers
-from tidelog.spec import DELETED, LAYER, OP, KeyColumn, KeySpec, either, expired, deleted_flag, sentinel
-from tidelog.streaming.replicate import accepted
+from tidelog.sources.backup import Backup
+from tidelog.sources.files import scratch_root
+from tidelog.sources.table import KeyedTable, merge_layers
+from tidelog.spec import DELETED, LAYER, OP, KeyColumn, KeySpec, Options, deleted_flag, either, expired, sentinel
+from tidelog.streaming.replicate import accepted, apply_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 USER = KeySpec.of("user_id")
@@ -75,7 +79,7 @@ def shown(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(names.get(c, c)) for c in df.columns))
 
 
-@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del")
+@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del ORDER BY user_id")
 def merged_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.scan(V.visible(event_log(spark, sf_dir), USER), USER))
 
@@ -85,17 +89,17 @@ def merged_view_with_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(V.visible(event_log(spark, sf_dir), USER, include_deleted=True))
 
 
-@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del")
+@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del ORDER BY user_id DESC")
 def reverse_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.scan(V.visible(event_log(spark, sf_dir), USER), USER, reverse=True))
 
 
-@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del AND user_id >= 20")
+@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del AND user_id >= 20 ORDER BY user_id")
 def seek_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.seek(V.visible(event_log(spark, sf_dir), USER), USER, [20]))
 
 
-@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del AND user_id > 20")
+@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del AND user_id > 20 ORDER BY user_id")
 def resume_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.after(V.visible(event_log(spark, sf_dir), USER), USER, [20]))
 
@@ -160,7 +164,7 @@ def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.one(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ORDER, [42])
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900 ORDER BY o_orderkey")
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scan(R.between(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ORDER, [100], [900]), ORDER)
 
@@ -175,7 +179,7 @@ def skip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.skip(table(spark, sf_dir, "orders").select("o_orderkey"), ORDER, 1000)
 
 
-@query("SELECT p_name, p_partkey, p_brand FROM part WHERE p_name >= 'red ' AND p_name < 'red!'")
+@query("SELECT p_name, p_partkey, p_brand FROM part WHERE p_name >= 'red ' AND p_name < 'red!' ORDER BY p_name, p_partkey")
 def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scan(R.with_prefix(table(spark, sf_dir, "part").select("p_name", "p_partkey", "p_brand"), "p_name", "red "), PART)
 
@@ -195,6 +199,30 @@ def ceiling_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ceiling_join(view, table(spark, sf_dir, "customer").select("c_custkey"), key="o_orderkey", probe="c_custkey")
 
 
+@query("SELECT DISTINCT user_id, (SELECT max(o_orderdate) FROM orders WHERE o_orderdate <= day) AS floor_day FROM (SELECT user_id, max(ts) AS day FROM events GROUP BY user_id)")
+def floor_seek_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("day"))
+    return R.floor_join(table(spark, sf_dir, "orders"), probes, key="o_orderdate", probe="day", out="floor_day", bands=100).drop("day")
+
+
+@query("SELECT c_name AS v, (SELECT min(p_name) FROM part WHERE p_name >= lower(c_name)) AS found, lower(c_name) AS low FROM customer")
+def ceiling_seek_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = table(spark, sf_dir, "customer").select(F.col("c_name").alias("v"), F.lower("c_name").alias("low"))
+    return R.ceiling_join(table(spark, sf_dir, "part"), probes, key="p_name", probe="low", out="found", bands=16)
+
+
+@query("SELECT c_custkey, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey >= c_custkey) AS floor_key FROM customer")
+def floor_seek_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In a descending key the last key at or before a probe is the least one that is not smaller."""
+    view = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select("o_orderkey")
+    return R.floor_join(view, table(spark, sf_dir, "customer").select("c_custkey"), key=KeyColumn("o_orderkey", ascending=False), probe="c_custkey", bands=9)
+
+
+@query("SELECT user_id, event_type, value, op, del FROM (" + LWW + ") WHERE NOT del AND (user_id <= 20 OR user_id IS NULL) ORDER BY user_id DESC")
+def seek_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(R.seek(V.visible(event_log(spark, sf_dir), USER), USER, [20], reverse=True))
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders")
 def ordinal_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ordinals(table(spark, sf_dir, "orders").select("o_orderkey"), ORDER)
@@ -229,10 +257,10 @@ def try_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(X.try_delete(view, batch.select("user_id", OP), USER)).select("user_id", "op", "del")
 
 
-@query(f"SELECT user_id, event_type, value, op, del FROM ({BASE}) WHERE user_id NOT IN (SELECT user_id FROM ({BATCH}) WHERE op % 3 = 0)")
+@query(f"SELECT user_id, event_type, value, op, del FROM ({BASE}) WHERE user_id NOT IN (SELECT user_id FROM ({BATCH}) WHERE op % 50 = 0)")
 def force_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     view, batch = halves(spark, sf_dir)
-    log = X.upsert(view, X.force_delete(batch.where(F.col(OP) % 3 == 0).select("user_id", OP), view))
+    log = X.upsert(view, X.force_delete(batch.where(F.col(OP) % 50 == 0).select("user_id", OP), view))
     return shown(V.visible(log, USER))
 
 
@@ -251,11 +279,61 @@ def upsert_with_op_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(X.upsert_with_op(numbered, value=lambda op: F.col("value") + op).select("user_id", OP, "value"))
 
 
-@query(f"SELECT b.user_id, v.value AS old_value, CASE WHEN b.op % 2 = 0 THEN b.value ELSE v.value END AS value, b.op % 2 = 0 AS written, CASE WHEN b.op % 2 = 0 THEN b.op ELSE 0 END AS op FROM ({BATCH}) b JOIN ({BASE}) v USING (user_id)")
-def get_and_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Updaters one after the other, as the operations are defined: each sees what the one before it left. Amounts are whole numbers.
+AMOUNT = "CAST(floor(value) AS BIGINT)"
+STATE = f"SELECT b.user_id, b.op, b.amount, v.amount AS base, b.op % 2 = 0 AS acts, row_number() OVER (PARTITION BY b.user_id ORDER BY b.op) AS n FROM (SELECT user_id, op, {AMOUNT} AS amount FROM ({BATCH})) b LEFT JOIN (SELECT user_id, {AMOUNT} AS amount FROM ({BASE})) v USING (user_id)"
+
+
+def steps(found: str, add: str, adder: str, update: str, declines: str) -> str:
+    """SQL that goes through each key's records one by one: the value is null as long as the key is not there."""
+    start = f"CASE WHEN base IS NOT NULL THEN ({update.format(v='base')}) WHEN {adder} THEN {add} END"
+    there = "base IS NOT NULL"
+    first = f"SELECT user_id, op, n, base AS old, CASE WHEN {there} AND {declines} THEN base ELSE {start} END AS now, {there} AS was, ({there} AND NOT {declines}) OR (NOT {there} AND {adder}) AS wrote FROM s WHERE n = 1"
+    then = f"SELECT s.user_id, s.op, s.n, r.now AS old, CASE WHEN r.now IS NULL THEN CASE WHEN {adder} THEN {add} END WHEN {declines} THEN r.now ELSE {update.format(v='r.now')} END AS now, r.now IS NOT NULL AS was, (r.now IS NOT NULL AND NOT {declines}) OR (r.now IS NULL AND {adder}) AS wrote FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1"
+    return f"WITH RECURSIVE s AS ({STATE}), r AS ({first} UNION ALL {then}) SELECT {found} FROM r"
+
+
+RESULT = "CASE WHEN NOT wrote THEN 'Cancelled' WHEN was THEN 'Updated' ELSE 'Added' END AS result"
+COMMON = f"user_id, old AS old_amount, now AS amount, CASE WHEN wrote THEN op ELSE 0 END AS op, {RESULT}, wrote AND NOT was AS returned"
+
+
+def amounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     view, batch = halves(spark, sf_dir)
-    out = X.get_and_update(view, batch, USER, {"value": F.col("b.value")}, when=F.col(f"b.{OP}") % 2 == 0)
-    return shown(out.select("user_id", "old_value", "value", "written", OP))
+    amount = F.floor("value").cast("long").alias("amount")
+    return view.select("user_id", amount, OP, DELETED), batch.select("user_id", amount, OP)
+
+
+def _gain(old: dict, record: dict) -> dict:
+    return {"amount": old["amount"] + record["amount"]}
+
+
+@query(steps("user_id, old AS old_amount, now AS amount, CASE WHEN wrote THEN op ELSE 0 END AS op, wrote AS written", "NULL", "false", "{v} + amount", "false") + " WHERE was")
+def get_and_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of a key adds to what the one before it left."""
+    return shown(X.get_and_update(*amounts(spark, sf_dir), USER, _gain).drop(DELETED))
+
+
+@query(steps("user_id, old AS old_amount, now AS amount, CASE WHEN wrote THEN op ELSE 0 END AS op, wrote AS written", "NULL", "false", "2 * {v} + 1", "old_parity") .replace("old_parity", "s.amount % 3 = 0").replace("FROM s WHERE n = 1", "FROM s WHERE s.n = 1") + " WHERE was")
+def atomic_get_and_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An updater that declines some records, and whose order matters; amounts are kept small."""
+    view, batch = amounts(spark, sf_dir)
+    return shown(X.get_and_update(view, batch, USER, lambda old, r: None if r["amount"] % 3 == 0 else {"amount": 2 * old["amount"] + 1}).drop(DELETED))
+
+
+@query(steps(COMMON, "s.amount", "true", "{v} + s.amount", "s.op % 2 = 1"))
+def add_or_update_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add the record's value, or update by it; the updater cancels at odd operations."""
+    view, batch = amounts(spark, sf_dir)
+    batch = batch.withColumn("acts", F.col(OP) % 2 == 0)
+    return shown(X.apply_in_order(view, batch, USER, lambda old, r: _gain(old, r) if r["acts"] else None, add=lambda r: {"amount": r["amount"]}).drop(DELETED))
+
+
+@query(steps(COMMON, "1000 + s.amount", "s.op % 3 = 0", "{v} + s.amount", "false"))
+def add_or_update_adder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An adder that makes the first value, or cancels; the key is added by a later record then."""
+    view, batch = amounts(spark, sf_dir)
+    batch = batch.withColumn("third", F.col(OP) % 3 == 0)
+    return shown(X.apply_in_order(view, batch, USER, _gain, add=lambda r: {"amount": 1000 + r["amount"]} if r["third"] else None).drop(DELETED))
 
 
 @query("SELECT user_id, count(*) - 1 AS value FROM events GROUP BY user_id")
@@ -391,13 +469,13 @@ def series_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.series_range(events, "user_id", "ts", 7, low["a"], low["b"])
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE (conv_id > 5 OR conv_id = 5 AND turn >= 2) AND (conv_id < 20 OR conv_id = 20 AND turn < 1)")
+@query("SELECT conv_id, turn, role FROM conversations WHERE (conv_id > 5 OR conv_id = 5 AND turn >= 2) AND (conv_id < 20 OR conv_id = 20 AND turn < 1) ORDER BY conv_id, turn")
 def composite_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     return R.scan(R.between(view, TURN, [5, 2], [20, 1]), TURN)
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE conv_id < 20 OR conv_id = 20 AND turn > 1")
+@query("SELECT conv_id, turn FROM conversations WHERE conv_id < 20 OR conv_id = 20 AND turn > 1 ORDER BY conv_id DESC, turn")
 def descending_key_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = KeySpec.of(KeyColumn("conv_id", ascending=False), "turn")
     return R.after(table(spark, sf_dir, "conversations").select("conv_id", "turn"), key, [20, 1])
@@ -417,3 +495,109 @@ def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, _ = halves(spark, sf_dir)
     now = V.visible(event_log(spark, sf_dir), USER)
     return R.difference(shown(base).select("user_id", "op"), shown(now).select("user_id", "op"))
+
+
+# Stored tables, through their whole life. Each query makes a table of its own in the shared folder, which goes when the driver ends.
+
+
+def new_table(spark: SparkSession, log: DataFrame, **options: object) -> KeyedTable:
+    path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    schema = log.drop(OP, DELETED).schema
+    return KeyedTable.create(spark, f"{path}/t", USER, T.StructType([T.StructField(f.name, f.dataType) for f in schema]), Options(**({"unsafe": True} | options)))
+
+
+def in_batches(log: DataFrame, n: int) -> list[DataFrame]:
+    top = log.agg(F.max(OP)).first()[0] or 0
+    return [log.where((F.col(OP) > top * i // n) & (F.col(OP) <= top * (i + 1) // n)) for i in range(n)]
+
+
+NEWEST = f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del"
+
+
+@query(NEWEST)
+def stored_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table itself gives the operation indexes, in the order of events."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id", (F.col("event_type") == "error").alias(DELETED))
+    t = new_table(spark, events.drop("event_id"))
+    t.append(events, "event_id")
+    return shown(t.view())
+
+
+@query(NEWEST)
+def stored_seal_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six batches, each merged into the disk slot in files of a few keys; files that a batch does not touch are carried over."""
+    log = event_log(spark, sf_dir)
+    t = new_table(spark, log, part_min=5, part_max=20)
+    for b in in_batches(log, 6):
+        t.append(b, keep_ops=True)
+        t.evict()
+    return shown(t.view())
+
+
+@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del AND user_id % 7 <> 0")
+def stored_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    t = new_table(spark, log)
+    t.append(log, keep_ops=True)
+    t.evict()
+    t.delete(log.where("user_id % 7 = 0").select("user_id"))
+    return shown(t.view())
+
+
+@query(f"SELECT count(*) AS n FROM ({LWW}) WHERE NOT del")
+def stored_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the manifest and the delta alone."""
+    log = event_log(spark, sf_dir)
+    t = new_table(spark, log)
+    first, *rest = in_batches(log, 3)
+    t.append(first, keep_ops=True)
+    t.evict()
+    for b in rest:
+        t.append(b, keep_ops=True)
+    return spark.createDataFrame([(t.count(),)], "n long")
+
+
+@query(NEWEST)
+def stored_bottom_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch moves to the bottom; the two newest bottom segments but one are merged, tombstones kept."""
+    log = event_log(spark, sf_dir)
+    t = new_table(spark, log, disk_max=1, part_min=5, part_max=50)
+    for b in in_batches(log, 4):
+        t.append(b, keep_ops=True)
+        t.evict()
+    t.merge_bottom(1, 2)
+    return shown(t.view())
+
+
+@query(NEWEST)
+def backup_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live backup after a merge and an open delta, restored as a table of its own."""
+    log = event_log(spark, sf_dir)
+    t = new_table(spark, log)
+    first, second = in_batches(log, 2)
+    t.append(first, keep_ops=True)
+    t.evict()
+    t.append(second, keep_ops=True)
+    backup = Backup(t, t.path.removesuffix("/t") + "/backup", mode="live")
+    backup.take()
+    return shown(backup.restore(t.path.removesuffix("/t") + "/restored").view())
+
+
+@query("SELECT user_id, event_type, value, op, del FROM (" + LWW + ")")
+def replica_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations delivered out of order, in three batches, into a stored replica: its newest records, tombstones too."""
+    log = event_log(spark, sf_dir)
+    t = new_table(spark, log)
+    for i in range(3):
+        apply_batch(t, log.where((F.col(OP) * 7919) % 3 == i))
+    return shown(t.view(include_deleted=True))
+
+
+@query(f"SELECT user_id, event_type, value, op, del FROM ({LWW}) WHERE NOT del AND user_id % 5 = 0")
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    t = new_table(spark, log)
+    t.append(log, keep_ops=True)
+    return shown(t.get(log.where("user_id % 5 = 0").select("user_id")))

@@ -11,6 +11,7 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +26,15 @@ from tidelog.errors import (
     TableExistsError,
     TableNotFoundError,
 )
+from tidelog.operators.ranks import Cuts
+from tidelog.operators.read import only_keys
 from tidelog.operators.write import assign_ops, compact_log
 from tidelog.plans.view import last_write_wins, layered, of_layers, visible
 from tidelog.sources.files import Files
 from tidelog.spec import DELETED, LAYER, OP, IsDeleted, KeySpec, Options, deleted_flag
 
+#: Names the folders in which a segment keeps the files that go between those carried over.
+GAP = "__gap"
 MERGE_RESULTS = ("success", "nothing_to_merge", "cancelled_by_user", "failure", "another_merge_running", "range_invalid")
 
 
@@ -41,12 +46,13 @@ def merge_layers(log: DataFrame, key: KeySpec, layers: list[int], *, older_remai
 
 @dataclass
 class Part:
-    """One file of a segment: its rows, and the range of the first key column where that is a number or string."""
+    """One file of a segment: its rows and tombstones, and the range of the first key column where that has a plain order."""
 
     path: str
     rows: int
     low: object = None
     high: object = None
+    tombstones: int = 0
 
     def overlaps(self, low: object, high: object) -> bool:
         if None in (self.low, self.high, low, high):
@@ -58,7 +64,10 @@ class Part:
 class Segment:
     id: str
     parts: list[Part] = field(default_factory=list)
-    tombstones: int = 0
+
+    @property
+    def tombstones(self) -> int:
+        return sum(p.tombstones for p in self.parts)
 
     @property
     def rows(self) -> int:
@@ -87,7 +96,7 @@ class Manifest:
     @classmethod
     def from_json(cls, text: str) -> Manifest:
         d = json.loads(text)
-        seg = lambda s: Segment(s["id"], [Part(**p) for p in s["parts"]], s["tombstones"])
+        seg = lambda s: Segment(s["id"], [Part(**p) for p in s["parts"]])
         return cls(**{**d, "open": [*map(seg, d["open"])], "sealed": [*map(seg, d["sealed"])], "disk": seg(d["disk"]) if d["disk"] else None, "bottom": [*map(seg, d["bottom"])]})
 
 
@@ -167,25 +176,71 @@ class KeyedTable:
 
     # -- segments
 
-    def _write(self, rows: DataFrame, *, parts: bool = False) -> Segment:
-        """Write a segment sorted by key: one range of keys per file, so that row groups and files can be skipped."""
+    def _write(self, rows: DataFrame, *, around: list[Part] | None = None) -> Segment:
+        """Write a segment, each file sorted by key, so that row groups can be skipped. No file reaches over a file of ``around``."""
         segment = Segment(uuid.uuid4().hex)
         path = f"{self.path}/data/{segment.id}"
-        rows = rows.select(*self._columns())
-        order = self.key.order()
-        if parts:
-            n = max(1, -(-rows.count() // self.options.part_max))
-            rows = rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)
         codec = {"none": "uncompressed"}.get(self.options.compression, self.options.compression)
-        rows.sortWithinPartitions(*order).write.option("compression", codec).option("maxRecordsPerFile", self.options.part_max).parquet(path)
-        first = self.key.columns[0]
-        plain = first.collation is None and isinstance(self._type(first.name), (T.IntegralType, T.StringType))
-        aggs = [F.count("*").alias("n"), F.sum(F.col(DELETED).cast("long")).alias("t"), *((F.min(first.name).alias("low"), F.max(first.name).alias("high")) if plain else ())]
-        for r in self.spark.read.schema(self._stored()).parquet(path).groupBy(F.input_file_name().alias("file")).agg(*aggs).collect():  # a row per file
-            segment.parts.append(Part(f"data/{segment.id}/{r['file'].rsplit('/', 1)[1]}", r["n"], *((r["low"], r["high"]) if plain else ())))
-            segment.tombstones += r["t"] or 0
+        own, rows = self._ranged_by(), rows.select(*self._columns())
+        lows = sorted(p.low for p in around or [] if p.low is not None)
+        if lows:
+            kind = T.StringType() if isinstance(lows[0], str) else T.LongType()
+            rows = Cuts.of(lows, kind).numbered(rows, [(own, True)], GAP)
+        gap = [GAP] if lows else []
+        writer = rows.sortWithinPartitions(*gap, *self.key.order()).write.option("compression", codec).option("maxRecordsPerFile", self.options.part_max)
+        (writer.partitionBy(*gap) if gap else writer).parquet(path)
+        aggs = [F.count("*").alias("n"), F.sum(F.col(DELETED).cast("long")).alias("t"), F.max(OP).alias("top"), *((F.min(own).alias("low"), F.max(own).alias("high")) if own is not None else ())]
+        self._top = 0
+        written = self.spark.read.schema(self._stored()).option("recursiveFileLookup", "true").parquet(path)
+        for r in written.groupBy(F.col("_metadata.file_path").alias("file")).agg(*aggs).collect():  # a row per file
+            name = f"data/{segment.id}/{r['file'].split(f'/data/{segment.id}/', 1)[1]}".replace("%3D", "=")
+            segment.parts.append(Part(name, r["n"], *((r["low"], r["high"]) if own is not None else (None, None)), r["t"] or 0))
+            self._top = max(self._top, r["top"] or 0)
         return segment
 
+    def _ranged_by(self) -> Column | None:
+        """The first key column as a number or string of the same order; None if it has none."""
+        first = self.key.columns[0]
+        kind, c = self._type(first.name), F.col(first.name)
+        if not first.plain:
+            return None
+        if isinstance(kind, T.IntegralType):
+            return c.cast("long")
+        if isinstance(kind, T.StringType):
+            return c
+        if isinstance(kind, T.DateType):
+            return F.unix_date(c)
+        return F.unix_micros(c) if isinstance(kind, T.TimestampType) else None
+
+    def _spread(self, log: DataFrame, rows: int) -> DataFrame:
+        """A log of at most ``rows`` records in ranges of keys, one for each file to come. The shuffle serves the merge, too: a
+        key's records meet in one range."""
+        return log.repartitionByRange(max(1, -(-rows // self.options.part_max)), *self.key.order())
+
+    def _touched(self, old: list[Part], delta: list[Part]) -> list[Part]:
+        """Files of ``old`` in whose range some record of ``delta`` lies, or that have no range. At most a number per file comes
+        to the driver."""
+        own = self._ranged_by()
+        near = sorted((p for p in old if p.low is not None and any(p.overlaps(d.low, d.high) for d in delta)), key=lambda p: (p.low, p.high))
+        bare = [p for p in old if p.low is None]
+        if own is None or not near:
+            return bare + near
+        keys = self._read(delta).select(own.alias("k"))
+        order = [(F.col("k"), True)]
+        # per number of files that begin at or before a key, the least key
+        least = Cuts.of([p.low for p in near], keys.schema["k"].dataType).numbered(keys, order, "stop").groupBy("stop").agg(F.min("k").alias("k"), F.max(F.col("k").isNull()).alias("null")).collect()
+        tops = list(accumulate((p.high for p in near), max))
+        hit: set[int] = set()
+        for r in least:
+            i = r["stop"] - 1
+            while i >= 0 and r["k"] is not None and tops[i] >= r["k"]:
+                if near[i].high >= r["k"]:
+                    hit.add(i)
+                i -= 1
+            if r["null"]:  # null keys lie at one end
+                hit |= {0, len(near) - 1}
+        return bare + [near[i] for i in sorted(hit)]
+
     def _type(self, name: str) -> T.DataType:
         return self.schema[name].dataType
 
@@ -198,10 +253,12 @@ class KeyedTable:
     def _read(self, parts: list[Part]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], self._stored())
-        for p in parts:
-            if not self.files.exists(f"{self.path}/{p.path}"):
-                raise CorruptTableError(f"{p.path} is missing")
-        return self.spark.read.schema(self._stored()).parquet(*(f"{self.path}/{p.path}" for p in parts))
+        for folder in {p.path.rsplit("/", 1)[0] for p in parts}:
+            there = set(self.files.names(f"{self.path}/{folder}"))
+            for p in parts:
+                if p.path.startswith(f"{folder}/") and p.path.rsplit("/", 1)[1] not in there:
+                    raise CorruptTableError(f"{p.path} is missing")
+        return self.spark.read.schema(self._stored()).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{p.path}" for p in parts))
 
     def log(self, version: int | None = None, *, kinds: tuple[str, ...] = ("open", "sealed", "disk", "bottom"), low: object = None, high: object = None) -> DataFrame:
         """All records of a version with their layer, 0 the newest. Files outside ``[low, high]`` of the first key column are left out."""
@@ -217,6 +274,11 @@ class KeyedTable:
         """What a reader of a version sees."""
         return visible(self.log(version, **what), self.key, is_deleted=self.is_deleted, by_layer=True, include_deleted=include_deleted).drop(LAYER)
 
+    def get(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """What a reader sees of some keys: only their records are aggregated."""
+        log = only_keys(self.log(version), keys, self.key)
+        return visible(log, self.key, is_deleted=self.is_deleted, by_layer=True).drop(LAYER)
+
     def snapshot(self) -> int:
         """Seal, and the version to read from then on: later writes do not show in it."""
         self.seal()
@@ -245,9 +307,8 @@ class KeyedTable:
         segment = self._write(rows)
         if not segment.rows:
             return 0
-        top = self._read(segment.parts).agg(F.max(OP)).first()[0]
         m.open.insert(0, segment)
-        m.max_op = max(m.max_op, top)
+        m.max_op = max(m.max_op, self._top)
         self._publish(m)
         if sum(s.rows for s in m.open) >= self.options.mutable_max:
             self.seal()
@@ -257,7 +318,7 @@ class KeyedTable:
         """Tombstones for keys that are there, or for all of them."""
         keys = keys.select(*self.key.names).distinct()
         if not force:
-            keys = keys.join(self.view().select(*self.key.names), self.key.names, "left_semi")
+            keys = keys.join(self.get(keys).select(*self.key.names), self.key.names, "left_semi")
         return self.append(keys.withColumn(DELETED, F.lit(True)))
 
     # -- maintenance
@@ -292,16 +353,17 @@ class KeyedTable:
         result = "failure"
         try:
             delta = [p for s in m.sealed for p in s.parts]
-            lows, highs = [p.low for p in delta], [p.high for p in delta]
-            low, high = (None, None) if None in lows or None in highs else (min(lows), max(highs))
             old = m.disk.parts if m.disk else []
-            clean = [p for p in old if not p.overlaps(low, high)]
-            touched = [p for p in old if p.overlaps(low, high)]
+            touched = self._touched(old, delta)
+            if not m.bottom:  # tombstones that hide nothing go
+                touched += [p for p in old if p.tombstones and p not in touched]
+            clean = [p for p in old if p not in touched]
             log = self._read(touched).withColumn(LAYER, F.lit(len(m.sealed)))
             for i, s in enumerate(m.sealed):
                 log = log.unionByName(self._read(s.parts).withColumn(LAYER, F.lit(i)))
+            log = self._spread(log, sum(p.rows for p in (*touched, *delta)))
             merged = merge_layers(log, self.key, list(range(len(m.sealed) + 1)), older_remain=bool(m.bottom), is_deleted=self.is_deleted)
-            new = self._write(merged.drop(LAYER), parts=True)
+            new = self._write(merged.drop(LAYER), around=clean)
             new.parts = sorted([*clean, *new.parts], key=lambda p: (p.low is not None, p.low))
             if self._cancelled:
                 result = "cancelled_by_user"
@@ -331,12 +393,19 @@ class KeyedTable:
         if start < 0 or start >= stop:
             raise InvalidMergeRangeError(f"{start}..{stop} of {len(m.bottom)}")
         chosen = m.bottom[start : stop + 1]
-        log = None
-        for i, s in enumerate(chosen):
-            rows = self._read(s.parts).withColumn(LAYER, F.lit(i))
-            log = rows if log is None else log.unionByName(rows)
-        merged = merge_layers(log, self.key, list(range(len(chosen))), older_remain=stop < len(m.bottom) - 1, is_deleted=self.is_deleted)
-        new = self._write(merged.drop(LAYER), parts=True)
+        older = stop < len(m.bottom) - 1
+        all_parts = [(i, p) for i, s in enumerate(chosen) for p in s.parts]
+        # a file that no other chosen segment's files overlap needs no rewriting, if its tombstones may stay
+        clean = [p for i, p in all_parts if p.low is not None and (older or not p.tombstones) and self.is_deleted is deleted_flag and not any(j != i and p.overlaps(q.low, q.high) for j, q in all_parts)]
+        rest = [(i, p) for i, p in all_parts if p not in clean]
+        log = self._read([]).withColumn(LAYER, F.lit(0))
+        for i in range(len(chosen)):
+            own = [p for j, p in rest if j == i]
+            log = log.unionByName(self._read(own).withColumn(LAYER, F.lit(i))) if own else log
+        log = self._spread(log, sum(p.rows for _, p in rest))
+        merged = merge_layers(log, self.key, list(range(len(chosen))), older_remain=older, is_deleted=self.is_deleted)
+        new = self._write(merged.drop(LAYER), around=clean)
+        new.parts = sorted([*clean, *new.parts], key=lambda p: (p.low is not None, p.low))
         if self._cancelled:
             self._cancelled = False
             return "cancelled_by_user"

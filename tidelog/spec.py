@@ -14,6 +14,20 @@ from tidelog.errors import InvalidOptionError
 OP, DELETED, LAYER = "__op", "__deleted", "__layer"
 
 
+#: An expression that is sorted by, and whether ascending; nulls come first if so, else last.
+SortKey = tuple[Column, bool]
+
+
+def precedes(pairs: list[tuple[Column, Column, bool]]) -> Column:
+    """Whether the first values ``a`` of ``(a, b, ascending)`` come before the second ones ``b``, compared in turn."""
+    out = F.lit(False)
+    for a, b, up in reversed(pairs):
+        low, high = (a, b) if up else (b, a)
+        less = F.coalesce(low < high, low.isNull() & high.isNotNull())
+        out = less | (a.eqNullSafe(b) & out)
+    return out
+
+
 @dataclass(frozen=True)
 class KeyColumn:
     """One key column: its direction, for strings a collation, for others a compatibility switch.
@@ -34,17 +48,25 @@ class KeyColumn:
         c = F.col(self.name)
         return F.collate(c, self.collation) if self.collation else c
 
-    def sort_columns(self, reverse: bool = False) -> list[Column]:
-        up = self.ascending != reverse
-        order = (lambda c: c.asc_nulls_first()) if up else (lambda c: c.desc_nulls_last())
-        c = self.identity()
+    def sort_keys(self, c: Column | None = None) -> list[SortKey]:
+        """What a column's values, or those of ``c``, are sorted by, in turn."""
+        c = F.col(self.name) if c is None else c
+        c = F.collate(c, self.collation) if self.collation else c
         if self.nan_first:
-            return [order(F.when(c.isNull(), 0).when(F.isnan(c), 1).otherwise(2)), order(c)]
-        if self.longer_first:
-            return [order(F.concat(F.hex(c), F.lit("~")))] if self.ascending else [order(F.hex(c)), F.octet_length(c).desc()]
+            return [(F.when(c.isNull(), 0).when(F.isnan(c), 1).otherwise(2), self.ascending), (c, self.ascending)]
+        if self.longer_first:  # descending, a longer one comes first by itself
+            return [(F.concat(F.hex(c), F.lit("~")) if self.ascending else F.hex(c), self.ascending)]
         if self.utf16:
-            return [order(F.hex(F.encode(c, "UTF-16BE")))]
-        return [order(c)]
+            return [(F.hex(F.encode(c, "UTF-16BE")), self.ascending)]
+        return [(c, self.ascending)]
+
+    @property
+    def plain(self) -> bool:
+        """Whether the key's order is Spark's."""
+        return not (self.collation or self.nan_first or self.longer_first or self.utf16)
+
+    def sort_columns(self, reverse: bool = False) -> list[Column]:
+        return [c.asc_nulls_first() if up != reverse else c.desc_nulls_last() for c, up in self.sort_keys()]
 
 
 @dataclass(frozen=True)
@@ -64,30 +86,37 @@ class KeySpec:
     def group(self) -> list[Column]:
         return [k.identity().alias(k.name) if k.collation else F.col(k.name) for k in self.columns]
 
+    def sort_keys(self) -> list[SortKey]:
+        return [s for k in self.columns for s in k.sort_keys()]
+
     def order(self, reverse: bool = False) -> list[Column]:
         return [c for k in self.columns for c in k.sort_columns(reverse)]
 
     def compare(self, values: Sequence, *, op: str) -> Column:
-        """``key op values`` for ``<, <=, >, >=, ==, !=`` in key order, spelt out so that the first column reaches the scan."""
+        """``key op values`` for ``<, <=, >, >=, ==, !=`` in key order, null keys too. Where the first column's order is Spark's
+        own, its bound stands beside it as a plain comparison, which the scan can use."""
         if len(values) > len(self.columns):
             raise ValueError("more values than key columns")
-        pairs = list(zip(self.columns, values, strict=False))
+        pairs = []
+        for k, v in zip(self.columns, values, strict=False):
+            wanted = F.lit(v) if v is not None else F.lit(None).cast("string")
+            pairs += [(a, b, up) for (a, up), (b, _) in zip(k.sort_keys(), k.sort_keys(wanted), strict=True)]
         same = F.lit(True)
-        for k, v in pairs:
-            same = same & (k.identity() == F.lit(v))
+        for a, b, _ in pairs:
+            same = same & a.eqNullSafe(b)
         if op in ("==", "!="):
             return same if op == "==" else ~same
-        up = op[0] == ">"
-        out = same if op.endswith("=") else F.lit(False)
-        for i in reversed(range(len(pairs))):
-            k, v = pairs[i]
-            greater = up == k.ascending
-            step = k.identity() > F.lit(v) if greater else k.identity() < F.lit(v)
-            out = step if i == len(pairs) - 1 and op[1:] == "" else (step | ((k.identity() == F.lit(v)) & out) if i < len(pairs) - 1 else step | out)
-        k, v = pairs[0]
-        if len(pairs) > 1:  # implied, and what the scan can use
-            bound = k.identity() >= F.lit(v) if up == k.ascending else k.identity() <= F.lit(v)
-            out = bound & out
+        out = precedes([(b, a, up) for a, b, up in pairs]) if op[0] == ">" else precedes(pairs)
+        if op.endswith("="):
+            out = out | same
+        k, v = self.columns[0], values[0] if values else None
+        if k.plain and v is not None:
+            c, above = F.col(k.name), (op[0] == ">") == k.ascending
+            strict = len(values) == 1 and not op.endswith("=")
+            if above:
+                out = (c > F.lit(v) if strict else c >= F.lit(v)) & out
+            else:
+                out = ((c < F.lit(v) if strict else c <= F.lit(v)) | c.isNull()) & out
         return out
 
     def to_json(self) -> str:
@@ -155,7 +184,7 @@ class Options:
     extra: dict = field(default_factory=dict)
 
     def checked(self) -> Options:
-        if self.compression not in ("zstd", "lz4", "gzip", "snappy", "brotli", "none"):
+        if self.compression not in ("zstd", "lz4", "gzip", "snappy", "none"):
             raise InvalidOptionError(f"unknown codec {self.compression}")
         if not self.unsafe:
             for ok, what in (

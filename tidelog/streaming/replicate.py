@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidelog.operators.read import only_keys
 from tidelog.plans.view import last_write_wins
 from tidelog.sources.table import KeyedTable
 from tidelog.spec import OP, KeySpec
@@ -28,7 +29,7 @@ def accepted(ops: DataFrame, key: KeySpec, *arrival: str | Column) -> DataFrame:
 def apply_batch(table: KeyedTable, ops: DataFrame) -> int:
     """Merge a batch into a replica: only records newer than what it holds, or as new. Returns how many were taken."""
     newest = last_write_wins(ops, table.key)
-    held = table.log().groupBy(*table.key.names).agg(F.max(OP).alias("__held"))
+    held = only_keys(table.log(), newest, table.key).groupBy(*table.key.names).agg(F.max(OP).alias("__held"))
     fresh = newest.join(held, table.key.names, "left").where(F.col("__held").isNull() | (F.col(OP) >= F.col("__held"))).drop("__held")
     return table.append(fresh, keep_ops=True)
 
