@@ -7,6 +7,7 @@ stays above it, as it must: an older record must not come up because the newest
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.spec import DELETED, LAYER, OP, IsDeleted, KeySpec, deleted_flag
@@ -41,6 +42,13 @@ def layered(log: DataFrame, key: KeySpec) -> DataFrame:
     return last_write_wins(log, key, rank=[-F.col(LAYER)])
 
 
+def layered_in_ranges(log: DataFrame, key: KeySpec) -> DataFrame:
+    """``layered`` of a log that lies in ranges of keys, for writing: the sort that picks each key's record is the one that the
+    file is written in."""
+    newest = F.row_number().over(W.partitionBy(*key.group()).orderBy(F.col(LAYER), F.col(OP).desc()))
+    return log.withColumn("__newest", newest).where("__newest = 1").drop("__newest")
+
+
 def visible(log: DataFrame, key: KeySpec, *, is_deleted: IsDeleted = deleted_flag, by_layer: bool = False, include_deleted: bool = False) -> DataFrame:
     """Records that a reader sees. The tombstone test runs on winners only: a dead winner hides older live records."""
     newest = layered(log, key) if by_layer else last_write_wins(log, key)

@@ -27,9 +27,9 @@ from tidelog.errors import (
     TableNotFoundError,
 )
 from tidelog.operators.ranks import Cuts
-from tidelog.operators.read import only_keys
+from tidelog.operators.read import BROADCAST_KEYS, only_keys
 from tidelog.operators.write import assign_ops, compact_log
-from tidelog.plans.view import last_write_wins, layered, of_layers, visible
+from tidelog.plans.view import last_write_wins, layered, layered_in_ranges, of_layers, visible
 from tidelog.sources.files import Files
 from tidelog.spec import DELETED, LAYER, OP, IsDeleted, KeySpec, Options, deleted_flag
 
@@ -38,9 +38,9 @@ GAP = "__gap"
 MERGE_RESULTS = ("success", "nothing_to_merge", "cancelled_by_user", "failure", "another_merge_running", "range_invalid")
 
 
-def merge_layers(log: DataFrame, key: KeySpec, layers: list[int], *, older_remain: bool, is_deleted: IsDeleted = deleted_flag) -> DataFrame:
+def merge_layers(log: DataFrame, key: KeySpec, layers: list[int], *, older_remain: bool, is_deleted: IsDeleted = deleted_flag, in_ranges: bool = False) -> DataFrame:
     """Newest layer's record of each key; tombstones are kept exactly if older layers remain that they must hide."""
-    merged = layered(of_layers(log, layers), key)
+    merged = (layered_in_ranges if in_ranges else layered)(of_layers(log, layers), key)
     return merged if older_remain else merged.where(~is_deleted(merged))
 
 
@@ -213,9 +213,9 @@ class KeyedTable:
         return F.unix_micros(c) if isinstance(kind, T.TimestampType) else None
 
     def _spread(self, log: DataFrame, rows: int) -> DataFrame:
-        """A log of at most ``rows`` records in ranges of keys, one for each file to come. The shuffle serves the merge, too: a
-        key's records meet in one range."""
-        return log.repartitionByRange(max(1, -(-rows // self.options.part_max)), *self.key.order())
+        """A log of at most ``rows`` records in ranges of keys, one for each file to come, of ``part_min`` rows if none are dropped.
+        The shuffle serves the merge, too: a key's records meet in one range."""
+        return log.repartitionByRange(max(1, -(-rows // self.options.part_min)), *self.key.order())
 
     def _touched(self, old: list[Part], delta: list[Part]) -> list[Part]:
         """Files of ``old`` in whose range some record of ``delta`` lies, or that have no range. At most a number per file comes
@@ -271,8 +271,20 @@ class KeyedTable:
         return out if out is not None else self._read([]).withColumn(LAYER, F.lit(0))
 
     def view(self, version: int | None = None, *, include_deleted: bool = False, **what: object) -> DataFrame:
-        """What a reader of a version sees."""
-        return visible(self.log(version, **what), self.key, is_deleted=self.is_deleted, by_layer=True, include_deleted=include_deleted).drop(LAYER)
+        """What a reader of a version sees. The disk slot has each key once, so it is not aggregated: what newer layers hold takes
+        its records' places."""
+        m = self.manifest(version)
+        base = self.log(version, **(what | {"kinds": ("disk",)})) if m.disk and not m.bottom and "kinds" not in what and not any(k.collation for k in self.key.columns) else None
+        if base is None:
+            return visible(self.log(version, **what), self.key, is_deleted=self.is_deleted, by_layer=True, include_deleted=include_deleted).drop(LAYER)
+        newer = m.open + m.sealed
+        if newer:
+            top = layered(self.log(version, **(what | {"kinds": ("open", "sealed")})), self.key)
+            keys = top.select(*self.key.names)
+            if sum(s.rows for s in newer) <= BROADCAST_KEYS:
+                keys = F.broadcast(keys)
+            base = base.join(keys, [base[k].eqNullSafe(keys[k]) for k in self.key.names], "left_anti").unionByName(top)
+        return (base if include_deleted else base.where(~self.is_deleted(base))).drop(LAYER)
 
     def get(self, keys: DataFrame, version: int | None = None) -> DataFrame:
         """What a reader sees of some keys: only their records are aggregated."""
@@ -293,18 +305,24 @@ class KeyedTable:
     # -- writes
 
     def append(self, rows: DataFrame, *order: Column | str, keep_ops: bool = False) -> int:
-        """Append records as one atomic batch; returns how many. Operation indexes go on from the table's, in ``order``, or
-        are those that the rows bring. Retried by the caller on a conflict."""
+        """Append records as one atomic batch; returns how many. Operation indexes go on from the table's, dense, in ``order`` or,
+        without one, as the rows come; or they are those that the rows bring. Retried by the caller on a conflict."""
         self._writable()
         m = self.manifest()
         if DELETED not in rows.columns:
             rows = rows.withColumn(DELETED, F.lit(False))
-        if not keep_ops:
-            rows = assign_ops(rows, m.max_op + 1, *(order or self.key.names))
         for f in self.schema.fields:
             if f.name not in rows.columns:
                 rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+        staged = None
+        if not keep_ops and order:
+            rows = assign_ops(rows, m.max_op + 1, *order)
+        elif not keep_ops:
+            staged = f"{self.path}/data/{uuid.uuid4().hex}"
+            rows = self._as_they_come(rows, m.max_op + 1, staged)
         segment = self._write(rows)
+        if staged:
+            self.files.delete(staged)
         if not segment.rows:
             return 0
         m.open.insert(0, segment)
@@ -314,6 +332,20 @@ class KeyedTable:
             self.seal()
         return segment.rows
 
+    def _as_they_come(self, rows: DataFrame, start: int, path: str) -> DataFrame:
+        """Rows with dense operation indexes: written once with their task and place in it, then each task's rows are counted."""
+        rows = rows.select(*self.schema.names, F.col(DELETED), F.monotonically_increasing_id().alias(OP))
+        rows.write.option("compression", "snappy").parquet(path)
+        written = self.spark.read.schema(self._stored()).parquet(path)
+        task, place = F.shiftright(OP, 33), F.col(OP).bitwiseAND((1 << 33) - 1)
+        sizes = {r["task"]: r["n"] for r in written.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect()}  # a row per task
+        before, total = [], start
+        for i in range(max(sizes, default=-1) + 1):
+            before.append(total)
+            total += sizes.get(i, 0)
+        table = F.from_json(F.lit(json.dumps(before)), "array<bigint>")
+        return written.withColumn(OP, F.get(table, task.cast("int")) + place)
+
     def delete(self, keys: DataFrame, *, force: bool = False) -> int:
         """Tombstones for keys that are there, or for all of them."""
         keys = keys.select(*self.key.names).distinct()
@@ -362,7 +394,7 @@ class KeyedTable:
             for i, s in enumerate(m.sealed):
                 log = log.unionByName(self._read(s.parts).withColumn(LAYER, F.lit(i)))
             log = self._spread(log, sum(p.rows for p in (*touched, *delta)))
-            merged = merge_layers(log, self.key, list(range(len(m.sealed) + 1)), older_remain=bool(m.bottom), is_deleted=self.is_deleted)
+            merged = merge_layers(log, self.key, list(range(len(m.sealed) + 1)), older_remain=bool(m.bottom), is_deleted=self.is_deleted, in_ranges=True)
             new = self._write(merged.drop(LAYER), around=clean)
             new.parts = sorted([*clean, *new.parts], key=lambda p: (p.low is not None, p.low))
             if self._cancelled:
@@ -403,7 +435,7 @@ class KeyedTable:
             own = [p for j, p in rest if j == i]
             log = log.unionByName(self._read(own).withColumn(LAYER, F.lit(i))) if own else log
         log = self._spread(log, sum(p.rows for _, p in rest))
-        merged = merge_layers(log, self.key, list(range(len(chosen))), older_remain=older, is_deleted=self.is_deleted)
+        merged = merge_layers(log, self.key, list(range(len(chosen))), older_remain=older, is_deleted=self.is_deleted, in_ranges=True)
         new = self._write(merged.drop(LAYER), around=clean)
         new.parts = sorted([*clean, *new.parts], key=lambda p: (p.low is not None, p.low))
         if self._cancelled:
