@@ -65,6 +65,35 @@ def test_scores_match_brute_force(spark, sf_dir, monkeypatch):
     assert L.score_texts(both.limit(0), vocabulary=PIECES).count() == 0
 
 
+def test_words_of_any_length_go_through_one_lattice(monkeypatch):
+    pieces, byte, start = L.read_vocabulary(PIECES)
+    lattice = L.Lattice(pieces, byte, start)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdetionsh日é"), n)) for n in (1, 45, 398, 399, 400, 401, 1942, 10_000)]
+    times = np.arange(1.0, 9.0)
+    by_place, uses = lattice.log_probs(words), np.zeros(len(start))
+    lattice.expect(words, times, uses)
+    monkeypatch.setattr(L, "AT_ONCE", 37)
+    pieced = lattice.log_probs(words)
+    monkeypatch.setattr(L, "LONG", 10**9)
+    whole, all_uses = lattice.log_probs(words), np.zeros(len(start))
+    lattice.expect(words, times, all_uses)
+    assert np.allclose(by_place, whole, rtol=1e-12) and np.allclose(pieced, whole, rtol=1e-12) and np.allclose(uses, all_uses, rtol=1e-9)
+
+
+def test_score_is_the_sum_over_a_texts_words(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**6, "x" * 1942 + " tail"), (10**6 + 1, "")], docs.schema))
+    got = {r["doc_id"]: r["score"] for r in L.score_texts(docs, vocabulary=PIECES).collect()}
+    types = L.word_types(docs.selectExpr("crc32(string(doc_id)) % 7 = 2 AS held_out", "text"))
+    log_p = L.fit(types, PIECES)
+    pieces, byte, _ = L.read_vocabulary(PIECES)
+    lattice = L.Lattice(pieces, byte, log_p)
+    for r in docs.collect():
+        words = [w.decode() for w in (r["text"] or "").encode().lower().split()]
+        assert got[r["doc_id"]] == pytest.approx((float(lattice.log_probs(words).sum() if words else 0.0) + log_p[-1]) / math.log(10), rel=1e-9)
+
+
 def test_fitting_raises_the_likelihood(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("false AS held_out", "text")
     types = L.word_types(docs)

@@ -1,7 +1,7 @@
 """Language-model scoring: the marginal probability of a text over all its segmentations into subwords.
 
-The vocabulary is that of a public tokenizer, as it is; its scores, merge ranks, give the starting weights. Piece
-probabilities are then fitted to the training rows by expectation over all segmentations of all their word types, weighted
+The vocabulary is that of a public tokenizer, as it is. Its scores weight the segmentations to begin with: they are merge
+ranks, not log probabilities, so Zipf's law turns them into such. Piece probabilities are then fitted to the training rows by expectation over all segmentations of all their word types, weighted
 by how often each occurs. A word's probability is a sum over the paths of its lattice, by forward recursion in log space; a
 text's is the product over its words and its end. Letters that no piece covers go by their bytes.
 
@@ -30,8 +30,8 @@ SPACE = "▁"
 END = b""
 TINY = 0.1
 LN10 = math.log(10)
-#: Longest stretch of a word that goes through one lattice; what a longer word has beyond it starts anew.
-STRETCH = 400
+#: Letters above which a word goes through its lattice by itself, place by place; starts that are looked up at once there.
+LONG, AT_ONCE = 400, 20_000
 
 
 class Lattice:
@@ -111,19 +111,73 @@ class Lattice:
     def log_probs(self, words: list[str]) -> np.ndarray:
         """Marginal log probability of each word."""
         out = np.zeros(len(words))
-        for rows, parts in _alike(words):
+        words, long = _marked(words)
+        for i in long:
+            out[i] = self._places(self._edges(words[i]))[-1]
+        for rows, parts in _alike(words, long):
             letters, size = self._letters(parts)
             _, weights = self._pieces(letters)
             a = self._forward(weights, *letters.shape)
-            np.add.at(out, rows, a[np.arange(len(parts)), size])
+            out[rows] = a[np.arange(len(parts)), size]
         return out
 
+    def _edges(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The lattice of one word of any length: start, end, piece (-1 for a letter that goes by its bytes) and log probability
+        of each piece in it, by end. Some starts at a time, with as many letters more as a piece can have."""
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for low in range(0, len(word), AT_ONCE):
+            letters, _ = self._letters([word[low : low + AT_ONCE + self.longest - 1]])
+            ids, weights = self._pieces(letters)
+            for k, (own, w) in enumerate(zip(ids, weights, strict=True), 1):
+                at = np.flatnonzero(np.isfinite(w[0, :AT_ONCE]))
+                for x, y in zip(found, (at + low, at + low + k, own[0, at], w[0, at]), strict=True):
+                    x.append(y)
+        start, end, piece, weight = (np.concatenate(x) for x in found)
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], piece[order], weight[order]
+
+    @staticmethod
+    def _places(edges: tuple) -> list[float]:
+        """Log of the summed probability of all ways to reach each place of one word."""
+        start, end, _, weight = edges
+        n = int(end[-1])
+        a = [0.0] + [-math.inf] * n
+        cuts = np.searchsorted(end, np.arange(1, n + 2)).tolist()
+        start, weight = start.tolist(), weight.tolist()
+        for j in range(1, n + 1):
+            terms = [a[start[i]] + weight[i] for i in range(cuts[j - 1], cuts[j])]
+            top = max(terms, default=-math.inf)
+            if top > -math.inf:
+                a[j] = top + math.log(sum(math.exp(x - top) for x in terms))
+        return a
+
+    def _expect_long(self, word: str, times: float, into: np.ndarray) -> None:
+        start, end, piece, weight = edges = self._edges(word)
+        n = int(end[-1])
+        a = np.array(self._places(edges))
+        b = np.array(self._places(self._turned(edges, n)))[::-1]
+        use = np.exp(a[start] + weight + b[end] - a[n]) * times
+        known = piece >= 0
+        into += np.bincount(piece[known], use[known], len(into))
+        for i in np.flatnonzero(~known).tolist():
+            np.add.at(into, self.bytes[list(word[start[i]].encode("utf-8", "replace"))], use[i])
+
+    @staticmethod
+    def _turned(edges: tuple, n: int) -> tuple:
+        """The same lattice from its end."""
+        start, end, piece, weight = edges
+        order = np.argsort(n - start, kind="stable")
+        return (n - end)[order], (n - start)[order], piece[order], weight[order]
+
     def log_prob(self, word: str) -> float:
         return float(self.log_probs([word])[0])
 
     def expect(self, words: list[str], times: np.ndarray, into: np.ndarray) -> None:
         """Add the expected uses of each piece in ``times`` occurrences of each word."""
-        for rows, parts in _alike(words):
+        words, long = _marked(words)
+        for i in long:
+            self._expect_long(words[i], float(times[i]), into)
+        for rows, parts in _alike(words, long):
             letters, size = self._letters(parts)
             n, top = letters.shape
             ids, weights = self._pieces(letters)
@@ -145,23 +199,24 @@ class Lattice:
                         np.add.at(into, self.bytes[list(chr(code).encode("utf-8", "replace"))], use[rest & (letters == code)].sum())
 
 
-def _alike(words: list[str], rows: int = 2048, letters: int = 60_000) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Stretches of words, of about one length together, with the words that they are of; few at a time where they are long."""
-    flat = sorted(((i, s) for i, w in enumerate(words) for s in stretches(w)), key=lambda x: len(x[1]))
+def _marked(words: list[str]) -> tuple[list[str], list[int]]:
+    """Words as they stand in the lattice, behind a space mark, and the places of the long ones."""
+    marked = [SPACE + w.replace("\0", "\ufffd") for w in words]  # an array's padding is the zero letter
+    return marked, [i for i, w in enumerate(marked) if len(w) > LONG]
+
+
+def _alike(words: list[str], long: list[int], rows: int = 2048, letters: int = 60_000) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Words of about one length together, all but the long ones, with their places; few at a time where they are longer."""
+    left = set(long)
+    flat = sorted((i for i in range(len(words)) if i not in left), key=lambda i: len(words[i]))
     at = 0
     while at < len(flat):
         n = rows
-        while n > 1 and len(flat[min(at + n, len(flat)) - 1][1]) * n > letters:
+        while n > 1 and len(words[flat[min(at + n, len(flat)) - 1]]) * n > letters:
             n //= 2
         part = flat[at : at + n]
         at += n
-        yield np.array([i for i, _ in part]), [s for _, s in part]
-
-
-def stretches(word: str) -> Iterator[str]:
-    s = SPACE + word.replace("\0", "\ufffd")  # the array's padding is the zero letter
-    for i in range(0, len(s), STRETCH):
-        yield s[i : i + STRETCH]
+        yield np.array(part), [words[i] for i in part]
 
 
 def read_vocabulary(path: str) -> tuple[dict[str, int], list[int], np.ndarray]:
