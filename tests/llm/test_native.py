@@ -92,10 +92,10 @@ def test_secret_spans(spark, sf_dir):
         for k, n in (("assign", "n_assign"), ("access", "n_access"), ("hex", "n_hex")):
             assert got[i][n] == base(t).count(f"{k}:")
     assert got[4]["spans"] == "markov:4:32" and got[10]["n_markov"] == 1
-    assert sum(r["n_markov"] for r in got.values()) == 2
+    assert {i for i, r in got.items() if r["n_markov"]} <= {2, 3, 4, 10}  # 2 and 3 have a value of a token and half a key
     text = F.coalesce("text", F.lit(""))
     out = {r[0]: r[1] for r in S.with_spans(docs, model).select("doc_id", S.redacted(text, F.col("__spans"))).collect()}
-    assert out[2] == "token: token:abcdefgh [SECRET]' and é😀 SECRET=\"abc\" [SECRET]"
+    assert out[2] == "token: token:[SECRET] [SECRET]' and é😀 SECRET=\"abc\" [SECRET]"
     assert out[4] == "key [SECRET] and get_user_account_settings_now end"
     assert S.secret_scan(docs.limit(0), model=model).count() == 0
 
@@ -113,6 +113,39 @@ def test_models_tell_random_strings_from_identifiers(spark, sf_dir):
     assert sum(r.flag for r in rows if r.random) >= 198 and not any(r.flag for r in rows if not r.random)
 
 
+def test_short_secrets_are_found_and_words_are_not(spark):
+    import random
+    import string
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, rng = S.train(docs), random.Random(5)
+    made = [(n, "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))) for n in range(8, 20) for _ in range(50)]
+    planted = spark.createDataFrame([(i, f"the {x}, and that of it") for i, (_, x) in enumerate(made)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in S.secret_scan(planted, model=model).collect()}
+    found = [got[i] == f"markov:4:{4 + n}" for i, (n, _) in enumerate(made)]
+    assert sum(found) >= 0.95 * len(found) and sum(found[:100]) >= 85
+    words = docs.selectExpr("explode(regexp_extract_all(text, '[A-Za-z]{2,}', 0)) AS text").distinct().selectExpr("1L AS doc_id", "text")
+    assert S.secret_scan(words, model=model).where("n_markov > 0").count() <= 0.01 * words.count()
+    plain = "2024-01-15T10:30 user-agent internationalization 1234567890123 ======== aaaaaaaaaaaa ____________ get_user_name_2 MAX_RETRY_COUNT"
+    assert S.secret_scan(spark.createDataFrame([(1, plain)], "doc_id long, text string"), model=model).first()["spans"] == ""
+
+
+def test_long_tokens_and_many_spans(spark):
+    import random
+    import string
+    import time
+
+    model, rng = S.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")), random.Random(6)
+    one = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(1_000_000))
+    many = " ".join(one[i : i + 24] for i in range(0, 1_000_000, 24))
+    docs = spark.createDataFrame([(1, one), (2, many)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["doc_id"]: r for r in S.secret_scan(docs, model=model).collect()}
+    assert time.perf_counter() - start < 30
+    assert got[1]["spans"] == "markov:0:1000000" and got[2]["n_markov"] >= 41_000
+    assert all(many[a - 1 : a].strip() == "" for a in (int(x.split(":")[1]) for x in got[2]["spans"].split(",")))
+
+
 def test_no_python_on_the_main_path(spark, sf_dir):
     for name in ("op1_benchmark_decontamination", "op4_secret_scans"):
         plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

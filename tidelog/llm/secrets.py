@@ -9,6 +9,7 @@ documents, joined the ways identifiers are). A token whose letters are far likel
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +24,12 @@ PATTERNS = {
 KINDS = [*PATTERNS, "markov"]
 #: Letters that tokens consist of.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-SHORTEST = 20
-TOKEN = f"[A-Za-z0-9+/_=-]{{{SHORTEST},}}()"
-#: Rows of documents, generated strings, and words kept of each document that the models are trained on, at most about.
+#: Rows of documents, and generated strings, that the models are trained on, at most about.
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 4000
-#: A token is random if its log-likelihood ratio is at least this, and at least this for each letter; and has so many different letters.
-RATIO, RATIO_EACH, VARIETY = 12.0, 0.25, 9
+#: A token is random if its log-likelihood ratio is at least this, and at least this for each letter.
+RATIO, RATIO_EACH = 12.0, 0.25
+#: Matches whose spans are gathered at a time; see ``_placed``.
+TOGETHER = 256
 MASK = "[SECRET]"
 SPAN = "struct<start:int,kind:int,stop:int>"
 
@@ -39,40 +40,60 @@ class Model:
 
     ratios: tuple[float, ...]
 
+    @property
+    def shortest(self) -> int:
+        """Fewest letters that a token must have to be random, by the highest ratio of any pair."""
+        most = max(self.ratios)
+        return next((n for n in range(2, 1000) if (n - 1) * most >= max(RATIO, RATIO_EACH * n)), 1000)
+
     def column(self) -> Column:
         return F.split(F.lit(",".join(f"{x:.4f}" for x in self.ratios)), ",").cast("array<double>")
 
 
-def found(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches as spans, in code points; the pattern's one group must have ``least`` letters."""
+def found(text: Column, pattern: str, kind: str, good: Callable[[Column, Column], Column]) -> Column:
+    """Leftmost non-overlapping matches as spans, in code points, of which ``good(match, group)`` is true."""
     # the text before each match is matched too, so that lengths add up to places; the end stops the last search at once
     whole = F.lit(f"(?s)(.*?)(?:({pattern})|\\z)")
     before, match, value = (F.regexp_extract_all(text, whole, F.lit(i)) for i in (1, 2, 3))
     three = F.arrays_zip(before.alias("b"), match.alias("m"), value.alias("v"))
-    empty = F.array().cast(f"array<{SPAN}>")
-    no = KINDS.index(kind)
+    measured = F.transform(three, lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), ((F.length(x["m"]) > 0) & good(x["m"], x["v"])).alias("good")))
+    return F.when(F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False)), _placed(measured, KINDS.index(kind))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _placed(measured: Column, kind: int) -> Column:
+    """Spans of the good ones of ``array<struct<b, m, good>>``, by the lengths before them. Spark copies what an aggregate has
+    gathered at each step, so it gathers ``TOGETHER`` at a time and then the groups, or many spans would cost their square."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+
+    def span(low: Column, high: Column) -> Column:
+        return F.struct(low.alias("start"), F.lit(kind).alias("kind"), high.alias("stop"))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        stop = start + F.length(x["m"])
-        good = (F.length(x["m"]) > 0) & (F.length(x["v"]) >= least)
-        span = F.struct(start.alias("start"), F.lit(no).alias("kind"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(good, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        low = acc["at"] + x["b"]
+        high = low + x["m"]
+        return F.struct(high.alias("at"), F.when(x["good"], F.array_append(acc["spans"], span(low, high))).otherwise(acc["spans"]).alias("spans"))
 
-    fold = F.aggregate(three, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
-    return F.when(F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False)), fold).otherwise(empty)
+    def join(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["spans"], lambda s: span(acc["at"] + s["start"], acc["at"] + s["stop"]))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    def all_of(x: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x["all"]) - 1) / TOGETHER)).cast("int"))
+        return F.aggregate(F.transform(groups, lambda i: F.aggregate(F.slice(x["all"], i * TOGETHER + 1, F.lit(TOGETHER)), start, add)), start, join, lambda acc: acc["spans"])
+
+    # as a part of one value, the array is made once; named in the lambda it would be made for every group
+    return F.transform(F.array(F.struct(measured.alias("all"))), all_of)[0]
 
 
 def base_spans(text: Column) -> Column:
-    parts = [found(text, p, kind, 6 if kind == "assign" else 0) for kind, p in PATTERNS.items()]
+    parts = [found(text, p, kind, (lambda m, v: F.length(v) >= 6) if kind == "assign" else (lambda m, v: F.lit(True))) for kind, p in PATTERNS.items()]
     return F.array_sort(F.concat(*parts))
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
     """Counts of letter pairs of ``strings(s)``: ``(pair, n)``; at most one row for each pair of the alphabet."""
-    s = strings.where(F.length("s") > 1)
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substr("s", i, F.lit(2)))).alias("pair")
-    return s.select(pair).groupBy("pair").agg(F.count("*").alias("n"))
+    pair = F.explode(F.regexp_extract_all(F.col("s"), F.lit("(?s)(?=(..))"), F.lit(1))).alias("pair")
+    return strings.select(pair).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -99,7 +120,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     case = F.when(shape == 0, joined[0])
     for i, c in enumerate(joined[1:], 1):
         case = case.when(shape == i, c)
-    ordinary = {r["pair"]: r["n"] for r in _pairs(three.select(case.alias("s"))).collect()}
+    # words by themselves, whole numbers and dates are ordinary, too
+    single = base.select(F.explode("w").alias("s"))
+    numbers = spark.range(SAMPLE_STRINGS).select(F.substr(F.conv(F.substr(h, F.lit(1), F.lit(15)), 16, 10), F.lit(1), 4 + F.col("id") % 12).alias("s"))
+    dates = spark.range(SAMPLE_STRINGS // 8).select(F.date_format(F.timestamp_seconds(F.col("id") * 3_333_333), "yyyy-MM-dd'T'HH").alias("s"))
+    ordinary = {r["pair"]: r["n"] for r in _pairs(three.select(case.alias("s")).union(single).union(numbers).union(dates)).collect()}
 
     def log_p(counts: dict[str, int]) -> list[float]:
         out = []
@@ -108,32 +133,34 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             out += [math.log(x / sum(row)) for x in row]
         return out
 
-    return Model(tuple(a - b for a, b in zip(log_p(random), log_p(ordinary), strict=True)))
+    ratios = [a - b for a, b in zip(log_p(random), log_p(ordinary), strict=True)]
+    for i in range(len(ALPHABET)):  # a letter that goes on and on, as in rulers, is no sign of chance
+        ratios[i * len(ALPHABET) + i] = min(0.0, ratios[i * len(ALPHABET) + i])
+    return Model(tuple(ratios))
 
 
 def log_ratio(token: Column, model: Model) -> Column:
-    """Log-likelihood ratio of a token's letters, random against ordinary, given its first."""
+    """Log-likelihood ratio of a token's letters, random against ordinary, given its first; one pass over its letters."""
     n = len(ALPHABET)
     table, letters = model.column(), F.lit(ALPHABET)
 
-    def step(acc: Column, i: Column) -> Column:
-        a, b = F.substr(token, i, F.lit(1)), F.substr(token, i + 1, F.lit(1))
-        return acc + F.element_at(table, (F.instr(letters, a) - 1) * n + F.instr(letters, b))
+    def step(acc: Column, letter: Column) -> Column:
+        code = F.instr(letters, letter)
+        ratio = F.when(acc["last"] == 0, 0.0).otherwise(F.get(table, (acc["last"] - 1) * n + code - 1))
+        return F.struct(code.alias("last"), (acc["sum"] + ratio).alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), step)
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
+    return F.aggregate(F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0)), start, step, lambda acc: acc["sum"])
 
 
 def all_spans(text: Column, base: Column, model: Model) -> Column:
     """Base spans and those that the models add, by place, then kind."""
-
-    def random(s: Column) -> Column:
-        token = F.substr(text, s["start"] + 1, s["stop"] - s["start"])
-        ratio = log_ratio(token, model)
-        varied = F.size(F.array_distinct(F.split(token, ""))) >= VARIETY
-        clear = ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        return clear & varied & (ratio >= RATIO) & (ratio >= RATIO_EACH * F.length(token))
-
-    return F.array_sort(F.concat(base, F.filter(found(text, TOKEN, "markov"), random)))
+    token = f"[A-Za-z0-9+/_=-]{{{model.shortest},}}()"
+    random = found(text, token, "markov", lambda m, v: log_ratio(m, model) >= F.greatest(F.lit(RATIO), RATIO_EACH * F.length(m)))
+    # both lists are made once, as parts of one value; inside a lambda they would be made for every span
+    both = F.array(F.struct(base.alias("base"), random.alias("random")))
+    clear = lambda x: F.filter(x["random"], lambda s: ~F.exists(x["base"], lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    return F.transform(both, lambda x: F.array_sort(F.concat(x["base"], clear(x))))[0]
 
 
 def with_spans(docs: DataFrame, model: Model, *, text_col: str = "text", base: str = "__base", spans: str = "__spans") -> DataFrame:
