@@ -103,6 +103,47 @@ def test_surrogates_are_distinct_over_a_table(spark, sf_dir):
     assert P.collisions(bad).count() == 2
 
 
+def test_names_of_any_script(spark):
+    names = ["Ž", "Łś", "Աննա", "Đặng", "Ça", "çA", "ẞa", "李", "ŉ", "ʼn", "ΐ", "אבג", "A", "Ğ", "Ø", "İz", "ǅur"]
+    docs = spark.createDataFrame([(i, f"Dr {n} kam heute") for i, n in enumerate(names)], "doc_id long, text string")
+    got = sorted(P.pseudonymize(docs, key=KEY).collect())
+    assert P.collisions(P.entity_table(docs, KEY)).isEmpty()
+    for n, r in zip(names, got, strict=True):
+        assert r["n_entities"] == (n[:1].isupper()) and (n in r["text"].split()) == (r["n_entities"] == 0)
+    lower = [chr(i) for i in range(97, 0x600) if P.letters_like(chr(i))]
+    values = list(dict.fromkeys(lower + [P._capital(c) for c in lower if P._capital(c)] + [a + b for a in lower[:80] for b in lower[:80]]))
+    new = [P.surrogate("name", v, KEY) for v in values]
+    assert len(set(new)) == len(values) and all(a != b for a, b in zip(values, new, strict=True))
+    assert all(len(b) == 24 or len(a) == len(b) and [c.isupper() for c in a] == [c.isupper() for c in b] for a, b in zip(values, new, strict=True))
+
+
+def test_surrogates_need_a_key(spark):
+    with pytest.raises(ValueError):
+        P.key_of(spark)
+    spark.conf.set("tidelog.pii.key", "a secret of the tests")
+    try:
+        assert len(P.key_of(spark)) == 32
+    finally:
+        spark.conf.unset("tidelog.pii.key")
+
+
+def test_replacement_against_plain_substitution(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, "mail a.b@c.de"), (7, None), (7, "call (555) 123-4567"), (7, "call (555) 123-4567"), (10**6, "")], docs.schema)
+    both = docs.union(odd)
+    got = sorted(map(repr, P.pseudonymize(both.selectExpr("*", "1 AS found", "2 AS id"), key=KEY).collect()))
+    want = []
+    for r in both.collect():
+        text, at, out = r["text"] or "", 0, ""
+        entities = P.find_entities(text)
+        for a, b, k in entities:
+            out += text[at:a] + P.SURROGATES[k](text[a:b], KEY)
+            at = b
+        new = None if r["text"] is None else out + text[at:]
+        want.append(f"Row(doc_id={r['doc_id']!r}, text={new!r}, n_entities={len(entities)}, entities={','.join(f'{k}:{a}:{b}' for a, b, k in entities)!r})")
+    assert got == sorted(want)
+
+
 def test_gate_lets_every_entity_through(spark):
     texts = ["call +33 6 12 34 56 78 now", "+49 30 12 34 56 78", "+1 (2) 34 56 78", "+٣٣ ٦ ١٢ ٣٤ ٥٦ ٧٨", "(555) 123-4567", "a@b.co", "at 1.2.3.4 only", "123-45-6789", "Mr Xu"]
     texts.append(next(t for n in range(2, 99) if P.find_entities(t := f"to XX{n:02d}ABCDEFGHIJKL")))

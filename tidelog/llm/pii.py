@@ -5,21 +5,22 @@ script's letters by their own sets), and the number is moved by a keyed permutat
 place. Within a kind and format the surrogate is therefore a one-to-one function of the entity: equal entities get equal
 surrogates wherever they stand, different ones different surrogates, with no table to keep. Given names move within the
 list of their gender and script. Check digits are made to hold. A pass over all entities checks the
-distinctness and stops the job if it fails.
+distinctness.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import emit, texts_of
+from tidelog.llm.common import discard, stored, texts_of
 
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "name")
 # Patterns of the kinds that have one.
@@ -47,6 +48,27 @@ SETS = [
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ",
 ]
 _SET = {c: s for s in SETS for c in s}
+
+
+@lru_cache(maxsize=10_000)
+def letters_like(c: str) -> str | None:
+    """The letters that may stand for a small letter or a figure: its set or, in any other script, those of its kind in its block
+    of 128 characters that have a capital if it has one. None for signs."""
+    if c in _SET:
+        return _SET[c]
+    kind = unicodedata.category(c)
+    if kind not in ("Ll", "Lo", "Lu", "Lt", "Lm", "Nd"):
+        return None
+    cased = _capital(c) is not None
+    block = [chr(i) for i in range(ord(c) & ~127, (ord(c) & ~127) + 128)]
+    out = "".join(x for x in block if x not in _SET and unicodedata.category(x) == kind and (_capital(x) is not None) == cased and _capital(x.lower()[:1]) != x)
+    return out if len(out) > 1 else None
+
+
+def _capital(c: str) -> str | None:
+    """The one capital that turns back into the letter; None if there is none."""
+    up = "ẞ" if c == "ß" else c.upper()
+    return up if len(up) == 1 and up != c and up.lower() == c else None
 _WORD = r"[^\W\d_][\w'’]*"
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _NAMED = re.compile(rf"(?<!\w)(?:({_TITLE})\.?[ ]+)?({_WORD})(?:[ ]+({_WORD}))?")
@@ -107,8 +129,8 @@ class Permutation:
 
 def moved(text: str, key: bytes, label: str) -> str:
     """Free letters of a text moved within their sets, together; case and all other letters stay."""
-    low = [c.lower() if len(c.lower()) == 1 else c for c in text]
-    sets = [_SET.get(c) for c in low]
+    low = [c.lower() if _capital(c.lower()[:1]) == c else c for c in text]
+    sets = [letters_like(c) for c in low]
     size, number, shape = 1, 0, []
     for c, s in zip(low, sets, strict=True):
         shape.append(s[0] if s else c)
@@ -119,12 +141,22 @@ def moved(text: str, key: bytes, label: str) -> str:
     for c, l, s in zip(reversed(text), reversed(low), reversed(sets), strict=True):
         if s:
             number, i = divmod(number, len(s))
-            new = s[i]
-            c = new.upper() if c != l and len(new.upper()) == 1 else new
+            c = (_capital(s[i]) if c != l else None) or s[i]
         out.append(c)
     return "".join(reversed(out))
 
 
+def coded(text: str, key: bytes) -> str:
+    """A made-up word for the rare value that has no letter which another could stand for."""
+    h = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, key=key, person=b"coded").digest(), "big")
+    out = ""
+    for _ in range(12):
+        h, a = divmod(h, len(SETS[2]))
+        h, b = divmod(h, len(SETS[1]))
+        out += SETS[2][a] + SETS[1][b]
+    return out.capitalize()
+
+
 def _refill(shape: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c.isalnum() else c for c in shape)
@@ -180,7 +212,7 @@ def _family(name: str, key: bytes) -> str:
     new = moved(name, key, "family")
     while new in _LISTED:  # stays apart from given names, which are never moved here
         new = moved(new, key, "family")
-    return new
+    return new if new != name or not name else coded(name, key)
 
 
 SURROGATES: dict[str, Callable[[str, bytes], str]] = {
@@ -248,22 +280,37 @@ def _quick(text: bytes) -> bool:
     return _MAY.search(plain) is not None or _GIVEN.search(plain) is not None
 
 
-def entity_table(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
-    """Distinct ``(kind, value, surrogate)`` of all documents."""
-    schema = pa.schema([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())])
+def with_surrogates(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, text, found)``: texts with their entities replaced, and the entities with places and surrogates. One pass."""
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = "array<struct<kind:string,start:int,stop:int,value:string,surrogate:string>>"
+    fields = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for raw in texts_of(batch):
-                if _quick(raw):
-                    text = raw.decode("utf-8", "replace")
-                    for a, b, kind in find_entities(text):
-                        yield kind, text[a:b], surrogate(kind, text[a:b], key)
-
         for batch in batches:
-            yield from emit(rows(batch), schema)
+            known = batch.column(1).is_valid().to_pylist()
+            texts, lists = [], []
+            for ok, raw in zip(known, texts_of(batch), strict=True):
+                text, found = raw.decode("utf-8", "replace"), []
+                if ok and _quick(raw):
+                    new, places = replaced(text, key)
+                    found = [{"kind": k, "start": a, "stop": b, "value": text[a:b], "surrogate": surrogate(k, text[a:b], key)} for a, b, k in places]
+                    text = new
+                texts.append(text if ok else None)
+                lists.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lists, fields)], names=["id", "text", "found"])
+
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, text string, found {kind}")
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, value string, surrogate string").distinct()
+
+def entities_of(rows: DataFrame) -> DataFrame:
+    """Distinct ``(kind, value, surrogate)`` of ``rows(found)``."""
+    return rows.select(F.explode("found").alias("e")).select("e.kind", "e.value", "e.surrogate").distinct()
+
+
+def entity_table(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
+    """Distinct ``(kind, value, surrogate)`` of all documents."""
+    return entities_of(with_surrogates(docs, key, id_col=text_col, text_col=text_col))
 
 
 def collisions(entities: DataFrame) -> DataFrame:
@@ -272,29 +319,33 @@ def collisions(entities: DataFrame) -> DataFrame:
     return shared.where("n > 1 or own = 1")
 
 
-def pseudonymize(docs: DataFrame, *, key: bytes = b"tidelog", id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The secret that surrogates are keyed with: the session's ``tidelog.pii.key``, at least 16 letters. There is no default,
+    since whoever knows the key can take surrogates back; without one, a job that does not have to agree with another may draw
+    one for itself (``secrets.token_bytes``)."""
+    key = spark.conf.get("tidelog.pii.key", None)
+    if not key or len(key) < 16:
+        raise ValueError("set tidelog.pii.key to a secret of at least 16 letters")
+    return hashlib.blake2b(key.encode(), digest_size=32).digest()
+
+
+def pseudonymize(docs: DataFrame, *, key: bytes, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """``(id, text, n_entities, entities)``, a row per input row; entities as ``kind:start:end`` in the text before, comma-joined.
 
     Null text stays null and has none; null and repeated ids stay as they are; an empty table gives no rows; other columns are
-    not read. ``key`` is a secret of up to 64 bytes: with another key all surrogates are others. No shuffle of texts; the check
-    shuffles distinct entities only.
+    not read. ``key`` is a secret of up to 64 bytes: with another key all surrogates are others. Texts are read once, into a
+    stored table, and not shuffled; the check reads and shuffles distinct entities only. If two entities of a kind shared a
+    surrogate, or one kept its own, all are made anew under a key drawn from the first, up to three times.
     """
-    if check and not collisions(entity_table(docs, key, text_col=text_col)).isEmpty():
+    for _ in range(4):
+        rows = with_surrogates(docs, key, id_col=id_col, text_col=text_col)
+        if check:
+            rows = stored(rows, "surrogates")
+        if not check or collisions(entities_of(rows)).isEmpty():
+            break
+        discard(rows)
+        key = hashlib.blake2b(b"again", key=key, digest_size=32).digest()
+    else:
         raise ValueError("surrogates are not distinct")
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = batch.column(1).is_valid().to_pylist()
-            texts, counts, lists = [], [], []
-            for ok, raw in zip(known, texts_of(batch), strict=True):
-                text, found = raw.decode("utf-8", "replace"), []
-                if ok and _quick(raw):
-                    text, found = replaced(text, key)
-                texts.append(text if ok else None)
-                counts.append(len(found))
-                lists.append(",".join(f"{k}:{a}:{b}" for a, b, k in found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(lists, pa.string())], names=["id", "text", "n_entities", "entities"])
-
-    out = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, text string, n_entities long, entities string")
-    return out.withColumnsRenamed({"id": id_col, "text": text_col})
+    listed = F.array_join(F.transform("found", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["stop"].cast("string"))), ",")
+    return rows.select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.size("found").cast("long").alias("n_entities"), listed.alias("entities"))

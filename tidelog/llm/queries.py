@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from tidelog.llm.html import extract_text
 from tidelog.llm.imatch import fingerprints_and_edits
 from tidelog.llm.lm import score_texts
 from tidelog.llm.packing import pack
-from tidelog.llm.pii import pseudonymize
+from tidelog.llm.pii import key_of, pseudonymize
 from tidelog.llm.quality import quality_scores
 from tidelog.llm.secrets import secret_scan
 from tidelog.llm.simhash import near_duplicates
@@ -41,7 +42,9 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(load(spark, sf_dir, "documents"))
+    """Under the session's key or, for a run by itself, one that nobody else knows."""
+    key = key_of(spark) if spark.conf.get("tidelog.pii.key", None) else secrets.token_bytes(32)
+    return pseudonymize(load(spark, sf_dir, "documents"), key=key)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
