@@ -40,7 +40,7 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 def positional_index(docs: DataFrame, vocabulary: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Postings ``(row, pos, term)`` of the words in ``vocabulary(word, term)``; term 0 ends each row: its pos is the number
     of words, and only there ``doc`` is set."""
-    terms = vocabulary.union(docs.sparkSession.createDataFrame([(END, 0)], "word string, term int"))
+    terms = vocabulary.union(docs.sparkSession.createDataFrame([(END, 0)], "word string, term long"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     # the row's number comes before posexplode: in one select it would number the words
     words = rows.select("row", "doc", F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"))
@@ -55,7 +55,7 @@ def occurrences(docs: DataFrame, items: DataFrame, *, width: int = 10, id_col: s
     listed = items.select(F.monotonically_increasing_id().alias("key"), F.col(item_col).alias("item"), F.transform(words_of(F.col(item_text)), lowered).alias("words"))
     listed = stored(listed.withColumn("n", F.size("words")).where("n > 0"), "items")
     used = listed.select(F.explode("words").alias("word")).distinct()
-    vocabulary = stored(used.select("word", F.row_number().over(W.orderBy("word")).alias("term")), "vocabulary")
+    vocabulary = stored(used.select("word", (F.monotonically_increasing_id() + 1).alias("term")), "vocabulary")
     index = positional_index(docs, vocabulary, id_col=id_col, text_col=text_col)
 
     counts = index.where("term > 0").groupBy("term").agg(F.count("*").alias("count"))
@@ -70,7 +70,7 @@ def occurrences(docs: DataFrame, items: DataFrame, *, width: int = 10, id_col: s
     anchors = pair.groupBy("key", F.col("x.p").alias("p1"), F.col("x.term").alias("t1"), F.col("y.p").alias("p2"), F.col("y.term").alias("t2")).agg(
         F.min("s").alias("from"), F.max(F.col("s") + F.col("k") - 1).alias("to")
     )
-    anchors = stored(anchors.withColumn("anchor", F.row_number().over(W.orderBy("key", "p1", "p2"))), "anchors")
+    anchors = stored(anchors.withColumn("anchor", F.monotonically_increasing_id()), "anchors")
     n_anchors = anchors.count()
 
     first = index.select("row", "pos", F.col("term").alias("t1")).join(_bounded(anchors.select("anchor", "t1", "p1", "p2", "t2"), n_anchors), "t1")
