@@ -174,3 +174,38 @@ def test_headings_and_smaller_siblings_stay():
     assert H.main_text(f"<body><h1>Title</h1><div>{long}</div></body>") == f"Title\n{long.strip()}"
     assert H.main_text(f"<body><div><p>{long}</p></div><div><p>{short}</p></div></body>") == f"{long.strip()}\n{short}"
     assert H.main_text(f"<body><div><a href=x>home</a></div><h1>T</h1><div>{long}</div></body>") == f"T\n{long.strip()}"
+
+
+def test_frames_formulas_and_unnamed_menus():
+    text = "A sentence, with some words in it, and a point. " * 4
+    links = "".join(f"<a href=/{i}>Link {i}</a><br>" for i in range(30))
+    body = "".join(f"<p>{text}</p>" for _ in range(6))
+    want = "\n".join([text.strip()] * 6)
+    assert H.main_text(f"<body><form id=aspnetForm><div>{body}</div></form></body>") == want
+    assert H.main_text(f"<body><div>{body}</div><form>Your mail <input></form></body>") == want
+    assert H.main_text(f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, then.</p>{body}</article>") == f"Let x=2, then.\n{want}"
+    assert H.main_text(f"<body><div class=links>{links}</div><div>{body}</div></body>") == want
+    assert H.main_text(f"<body><div><div class=links>{links}</div>{body}</div></body>") == want
+
+
+def test_planted_pages_without_an_article():
+    import random
+
+    rng = random.Random(9)
+    words = "the of and a to in is was he for it with as his on be at by had not".split()
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(6, 25))).capitalize() + rng.choice([".", ", so.", "?"])
+    hit = got_all = want_all = 0
+    for _ in range(60):
+        paras = [" ".join(sentence() for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(3, 12))]
+        menu = "".join(f"<li><a href=/{i}>{rng.choice(words)} {rng.choice(words)}</a></li>" for i in range(rng.randint(4, 25)))
+        menu = rng.choice([f"<ul>{menu}</ul>", f"<div class=x1><ul>{menu}</ul></div>", f"<nav><ul>{menu}</ul></nav>", f"<div>{menu.replace('li>', 'span>')}</div>"])
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        wrap = rng.choice(["<div>{}</div>", "<div class=c><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>", "<form><div>{}</div></form>", "{}"])
+        page = rng.choice(["<body>{m}{b}<footer>end of it</footer></body>", "<body>{b}{m}</body>", "<body><div>{m}{b}</div></body>"]).format(m=menu, b=wrap.format(body))
+        got, want = H.main_text(page).split(), "\n".join(paras).split()
+        from collections import Counter
+
+        hit += sum((Counter(got) & Counter(want)).values())
+        got_all += len(got)
+        want_all += len(want)
+    assert hit >= 0.95 * want_all and hit >= 0.95 * got_all

@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a sequence of text blocks, each at the end of a path of tags. Text length and punctuation are summed up per
-path, averaged over its blocks, smoothed along the page, fused into one score and held against a threshold; the element
-that holds the paths above it is the content. Whole parts that by their tag, role, class or id are no article text (menus,
-footers, forms and the like) carry no score and never come out. Everything else inside the content element does.
+path, averaged over its blocks, smoothed along the page, fused into one score and held against a threshold. The element that
+holds the paths above it is the content: all of it where that is an article. Elsewhere blocks of links come out only on paths
+that score like the page's text. Parts that by their tag or role are no article text (menus, footers and the like) carry no score and
+never come out; nor do forms and parts that only a class or id names so, unless they hold most of the page's text.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？؟]")
 # HTML's void elements, elements whose text is not markup, block elements, and elements that end an open paragraph.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
+RAW = set("script style noscript template textarea title iframe xmp noembed noframes svg".split())
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th "
@@ -41,7 +42,7 @@ CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}}
 INLINE_END = BLOCKS - {"br", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "body", "html", "head"}
 # What is no article text, by tag, role, and words of class or id.
-DROPPED = set("head nav footer aside form button select menu dialog object applet audio video canvas search datalist label".split()) | RAW
+DROPPED = set("head nav footer aside button select menu dialog object applet audio video canvas search datalist label".split()) | RAW
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar form toolbar tablist alert".split())
 NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar sidebar "
@@ -197,7 +198,8 @@ def blocks_of(page: str) -> list[Block]:
             dropped = dropped or comment and tag not in ("html", "body", "main")
             path = paths.setdefault((at.path, tag), len(paths) + 1)
             node = Node(tag, at, path, dropped, at.depth + 1, article, at.named)
-            if not body and not words & LAYOUT and words & names:
+            # a form may be all of a page's frame, so it goes as an element that only goes by a name does
+            if tag == "form" or not body and not words & LAYOUT and words & names:
                 node.named = node
             if not attributes.rstrip().endswith("/") or tag in BLOCKS:
                 at = node
@@ -269,7 +271,7 @@ def main_text(page: str) -> str:
         return ""
     scores = path_scores(blocks)
     values = np.array([scores[b.node.path] for b in blocks])
-    threshold = values.mean() - 0.5 * values.std() if len(values) > 1 else 0.0
+    threshold = min(values.max(), values.mean() - 0.5 * values.std())  # equal values may lie below their own mean
     chosen = [b for b, v in zip(blocks, values, strict=True) if v >= threshold]
     # the deepest element that holds nearly all of the chosen text
     weight: dict[int, float] = defaultdict(float)
@@ -285,11 +287,15 @@ def main_text(page: str) -> str:
     for n in _above(top):  # an article is whole
         if n.tag in ("article", "main"):
             return "\n".join(b.text for b in blocks if any(x is n for x in _above(b.node)))
-    # elsewhere all but what is mostly links is content, and headings are; links stay within the lowest element above all that scores
+    # elsewhere all but what is mostly links is content, and headings are; links are if their path scores like text and they stand
+    # within the lowest element above all that scores
     plain = {id(b) for b in blocks if 2 * b.linked < len(b.text)}
     inner = _common([b for b in chosen if id(b) in plain] or chosen)
     kept = plain | {id(b) for b in blocks if any(re.fullmatch("h[1-6]", n.tag) for n in _above(b.node))}
-    return "\n".join(b.text for b in blocks if id(b) in kept or any(n is inner for n in _above(b.node)))
+    size = sum(len(b.text) for b in blocks if id(b) in plain)
+    level = sum(len(b.text) * scores[b.node.path] for b in blocks if id(b) in plain) / max(1, size)
+    scored = {id(b) for b in blocks if scores[b.node.path] >= level / 2}  # of the score that the page's text has on average
+    return "\n".join(b.text for b in blocks if id(b) in kept or id(b) in scored and any(n is inner for n in _above(b.node)))
 
 
 def _common(blocks: list[Block]) -> Node:
