@@ -27,7 +27,7 @@ from tidelog.llm.common import Recent, texts_of
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-įıĲ-ſ]*")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-zß-öø-ſ0-9]+")
 #: Chunks that a worker remembers, and the longest that it does; bounds on memory, not on what is counted.
-REMEMBERED, LONGEST = 100_000, 100
+REMEMBERED, LONGEST = 250_000, 100
 #: Symbols above which a sequence is merged in the linked array.
 LONG = 128
 
