@@ -3,6 +3,7 @@
 import numpy as np
 
 from tidelog.llm import near as N
+from tidelog.llm import simhash as S
 
 
 def plain_set(text):
@@ -61,6 +62,39 @@ def test_long_lists_lose_no_link(spark, monkeypatch):
     assert sorted(drop(spark, rows)) == sorted(survivors(rows))
 
 
+def test_simhash_candidates_connect_as_all_pairs_do(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(edited(rng, base, int(rng.integers(0, 12)))) for _ in range(80)] + [" ".join(rng.choice(base, 90)) for _ in range(20)]
+    fps = [S.fingerprint(t.encode(), 2, distinct=True) for t in texts]
+    near = {(i, j) for i in range(100) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4}
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    pairs = {(r["b"], r["a"]) for r in N.simhash_pairs(spark.createDataFrame(list(enumerate(signed)), "node long, fp long")).collect()}
+    assert len(near) > 100 and pairs <= near
+
+    def parts(links):
+        part = list(range(100))
+        for i, j in links:
+            old, new = part[i], part[j]
+            part = [new if p == old else p for p in part]
+        return {frozenset(i for i in range(100) if part[i] == p) for p in part}
+
+    assert parts(pairs) == parts(near)
+
+
+def test_near_copies_go_by_their_fingerprints_without_bands(spark, monkeypatch):
+    monkeypatch.setattr(N, "band_lists", lambda own: spark.createDataFrame([], "key long, node long, n int, row long"))
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(20):
+        base = list(rng.choice([f"w{k}" for k in range(3000)], 300))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited(rng, base, 1)))]
+    rows.append((100, " ".join(edited(rng, rows[0][1].split(), 30))))  # no near-copy
+    fps = [S.fingerprint(t.encode(), 2, distinct=True) for _, t in rows]
+    far = {2 * i + 1 for i in range(20) if (fps[2 * i] ^ fps[2 * i + 1]).bit_count() > 4}
+    assert len(far) < 5 and {i for i, _ in drop(spark, rows)} == {*range(0, 40, 2), 100, *far}
+
+
 def test_rows_of_one_id_are_judged_apart(spark):
     rng = np.random.default_rng(7)
     a, b, c = (" ".join(rng.choice([f"w{i}" for i in range(500)], 80)) for _ in range(3))

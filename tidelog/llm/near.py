@@ -1,9 +1,11 @@
 """Near-duplicates by the exact similarity of word shingle sets.
 
 Two texts are linked if their sets of ``WIDTH``-word shingles have a Jaccard similarity of ``SIMILARITY`` at least; every link is
-checked on the sets themselves. Candidates are texts that agree in a band of ``ROWS`` minimum hashes: of ``BANDS`` bands at
-least one agrees with probability ``1 - (1 - s ** ROWS) ** BANDS`` at similarity ``s``, 0.99993 at 0.8. Texts of equal sets are
-one node. A list of candidates is dealt at random into groups of ``GROUP`` first, twice, and one node of each group is held
+checked on the sets themselves. Texts of equal sets are one node. Candidates come first from operator 9: SimHash fingerprints of
+the distinct ``PAIR``-word shingles that differ in at most ``DISTANCE`` bits, by its inverted index of byte positions and its
+tallies. Such fingerprints miss some pairs of similarity 0.8, so that the parts which they leave unjoined are sought in bands of
+``ROWS`` minimum hashes: of ``BANDS`` bands at least one agrees with probability ``1 - (1 - s ** ROWS) ** BANDS`` at similarity
+``s``, 0.99993 at 0.8. A list of a band is dealt at random into groups of ``GROUP`` first, twice, and one node of each group is held
 against the rest of it; then, in each round, some of the nodes that are not in the list's largest part yet are held against
 all others, until none is left that has not been held against all outside its own part. So a list of copies costs its length
 and not its square, and no pair of unjoined parts is left out. Lists are grouped by sums and minima only, which are made before
@@ -21,10 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import simhash
 from tidelog.llm.common import discard, stored, texts_of
 from tidelog.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
+#: Words of a shingle of the fingerprints, and bits in which candidates may differ.
+PAIR, DISTANCE = 2, 4
 ROWS, BANDS = 5, 24
 #: Rows up to which a table of row numbers is broadcast; beyond it it is shuffled.
 BROADCAST_ROWS = 500_000
@@ -66,16 +71,17 @@ def band_keys(shingles: np.ndarray) -> tuple[list[int], bytes]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sizes, keys, sketches = [], [], [], []
+        nodes, sizes, fps, keys, sketches = [], [], [], [], []
         for text in texts_of(batch):
             s = shingle_set(text)
             nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
             sizes.append(len(s))
+            fps.append(simhash.fingerprint(text, PAIR, distinct=True))
             own, sketch = band_keys(s)
             keys.append(own)
             sketches.append(np.frombuffer(sketch, dtype=np.int8))
-        node = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int8()))], names=["row", "node", "n", "keys", "sketch"])
+        node, fp = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps))
+        yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(sizes, pa.int32()), fp, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int8()))], names=["row", "node", "n", "fp", "keys", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +98,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)`` that connect ``nodes(node, fp)`` as all pairs do in which at most ``DISTANCE`` bits differ."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-heads")
+    links = simhash.fingerprint_links(heads.select("node", F.array("fp").alias("fps")), distance=DISTANCE)
+    equal = nodes.join(heads.select("fp", F.col("node").alias("a")), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    return links.union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose sets are similar enough; sets are fetched for pairs whose sketches are."""
 
@@ -106,17 +120,23 @@ def _alike(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(found, "near-links")
 
 
-def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """``(node, root)`` of the nodes that are linked to another one; None if none is."""
+def _dealt(lists: DataFrame) -> DataFrame:
+    """Pairs with their sizes and parts of one node of each random group of a list and the rest of the group."""
+    groups = F.ceil(F.col("many") / GROUP)
+    deals = F.array(*(F.struct(F.lit(i).alias("deal"), F.pmod(F.xxhash64("node", "key", F.lit(i)), groups).alias("group")) for i in (1, 2)))
+    dealt = lists.select("key", F.col("node").alias("b"), "n", F.col("root").alias("root_b"), F.explode(deals).alias("g"))
+    dealt = dealt.select("key", "b", "n", "root_b", "g.deal", "g.group")
+    firsts = dealt.groupBy("key", "deal", "group").agg(F.min(F.struct("b", "n", "root_b")).alias("p"))
+    firsts = firsts.select("key", "deal", "group", F.col("p.b").alias("a"), F.col("p.n").alias("m"), F.col("p.root_b").alias("root_a"))
+    return firsts.join(dealt, ["key", "deal", "group"])
+
+
+def _links(lists: DataFrame, pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """``(node, root)`` of the nodes that are linked to another one; None if none is. ``pairs`` are looked at first."""
     sized = F.least("m", "n") >= F.lit(SIMILARITY) * F.greatest("m", "n") - 1e-6
     ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    groups = F.ceil(F.col("many") / GROUP)
-    dealt = lists.select("key", F.col("node").alias("b"), "n", F.explode(F.array(*(F.struct(F.lit(i).alias("deal"), F.pmod(F.xxhash64("node", "key", F.lit(i)), groups).alias("group")) for i in (1, 2)))).alias("g"))
-    dealt = dealt.select("key", "b", "n", "g.deal", "g.group")
-    firsts = dealt.groupBy("key", "deal", "group").agg(F.min(F.struct("b", "n")).alias("p")).select("key", "deal", "group", F.col("p.b").alias("a"), F.col("p.n").alias("m"))
-    pairs = stored(firsts.join(dealt, ["key", "deal", "group"]).where(F.col("a") != F.col("b")).where(sized).select(*ends).distinct(), "near-pairs")
     done = lists.sparkSession.createDataFrame([], "key long, node long")
-    parts, links, buckets = None, None, 1
+    parts, links, buckets = None, None, None
     while True:
         found = _alike(pairs, sketches, sets)
         discard(pairs)
@@ -127,8 +147,12 @@ def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame
         if parts is not None:
             rooted = lists.select("key", "node", "n").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        lists = stored(rooted.join(main.select("key", F.col("top.root").alias("main")), "key"), "near-open")  # lists of several parts
+        main = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("many")).where("parts > 1")
+        lists = stored(rooted.join(main.select("key", F.col("top.root").alias("main"), "many"), "key"), "near-open")  # lists of several parts
+        if buckets is None:
+            buckets = 1
+            pairs = stored(_dealt(lists).where(F.col("root_a") != F.col("root_b")).where(sized).select(*ends).distinct(), "near-pairs")
+            continue
         buckets *= MORE
         rest = lists.where("root <> main").join(done, ["key", "node"], "left_anti")
         drawn = rest.groupBy("key", F.pmod(F.xxhash64("node", F.lit(buckets)), F.lit(buckets)).alias("bucket")).agg(F.min(F.struct("node", "n", "root")).alias("p"))
@@ -141,6 +165,13 @@ def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame
         pairs = stored(pairs, "near-pairs")
 
 
+def band_lists(own: DataFrame) -> DataFrame:
+    """``(key, node, n, row)``: the nodes of ``own(node, n, row, keys)`` under each key that several of them have."""
+    lists = stored(own.select("node", "n", "row", F.explode("keys").alias("key")), "near-bands")
+    several = lists.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    return stored(lists.join(several, "key"), "near-candidates")
+
+
 def surplus(rows: DataFrame, *, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row)``: the rows that are near-duplicates of a row that stays. ``rows`` is a stored table with a row number.
 
@@ -149,21 +180,22 @@ def surplus(rows: DataFrame, *, row_col: str, id_col: str = "doc_id", text_col:
     more than ``BROADCAST_ROWS`` are candidates; the shingle sets of candidates are shuffled.
     """
     texts = rows.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_signatures, "row long, node long, n int, keys array<long>, sketch array<tinyint>"), "near-signatures")
+    signed = stored(texts.mapInArrow(_signatures, "row long, node long, n int, fp long, keys array<long>, sketch array<tinyint>"), "near-signatures")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("row"))
     ids = rows.select(F.col(row_col).alias("row"), F.col(id_col).alias(id_col))
     named = signed.select("row", "node").join(ids, "row").groupBy("node").agg(F.min(order).alias("least"))
     named = stored(named, "near-nodes")
-    # one row of each node, with its keys
-    own = signed.join(named.select(F.col("least.row").alias("row")), "row").select("node", "n", "row", "keys")
-    lists = stored(own.select("node", "n", "row", F.explode("keys").alias("key")), "near-bands")
-    many = lists.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    lists = stored(lists.join(many, "key"), "near-candidates")
-    wanted = stored(lists.select("node", "row").distinct(), "near-wanted")
+    # one row of each node
+    own = signed.join(named.select(F.col("least.row").alias("row")), "row")
+    heads = stored(own.select("node", "row", "fp"), "near-fingerprints")
+    pairs = stored(simhash_pairs(heads), "near-pairs")
+    lists = band_lists(own)
+    reached = heads.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "row")
+    wanted = stored(lists.select("node", "row").union(reached).distinct(), "near-wanted")
     sketches = stored(signed.join(bounded(wanted.select("row")), "row").select("node", "sketch"), "near-sketches")
     sets = texts.join(bounded(wanted), "row").select("node", "text")
     sets = stored(sets.mapInArrow(_sets, "node long, set array<long>"), "near-sets")
-    parts = _links(lists, sketches, sets)
+    parts = _links(lists, pairs, sketches, sets)
     if parts is None:
         stay = named.select("node", F.col("least.row").alias("stay"))
     else:
