@@ -62,6 +62,31 @@ def test_long_lists_lose_no_link(spark, monkeypatch):
     assert sorted(drop(spark, rows)) == sorted(survivors(rows))
 
 
+def test_nodes_near_a_large_group_do_not_meet_all_of_it(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = [base] + [edited(rng, base, int(rng.integers(1, 4))) for _ in range(120)] + [edited(rng, base, int(rng.integers(4, 9))) for _ in range(180)]
+    pool = [(int(rng.integers(150)), f"pool{i}") for i in range(8)]  # changes that many texts have
+    for _ in range(60):
+        out = list(base)
+        for k in rng.choice(8, int(rng.integers(3, 7)), replace=False):
+            out[pool[k][0]] = pool[k][1]
+        texts.append(out)
+    texts += [texts[int(rng.integers(121, 301))][: int(rng.integers(110, 150))] for _ in range(40)]
+    texts += [edited(rng, texts[int(rng.integers(121, 301))], 1) for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    looked, alike = [], N._alike
+
+    def counted(pairs, sketches, sets):
+        looked.append(pairs.count())
+        return alike(pairs, sketches, sets)
+
+    monkeypatch.setattr(N, "_alike", counted)
+    want = sorted(survivors(rows))
+    assert sorted(drop(spark, rows)) == want and len(want) > 100
+    assert sum(looked) < 50 * len(rows)
+
+
 def test_simhash_candidates_connect_as_all_pairs_do(spark):
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(150)]

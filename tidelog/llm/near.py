@@ -8,7 +8,10 @@ tallies. Such fingerprints miss some pairs of similarity 0.8, so that the parts
 ``s``, 0.99993 at 0.8. A list of a band is dealt at random into groups of ``GROUP`` first, twice, and one node of each group is held
 against the rest of it; then, in each round, some of the nodes that are not in the list's largest part yet are held against
 all others, until none is left that has not been held against all outside its own part. So a list of copies costs its length
-and not its square, and no pair of unjoined parts is left out. Lists are grouped by sums and minima only, which are made before
+and not its square, and no pair of unjoined parts is left out. Nor do nodes that are like a large group, but not enough to be
+linked, meet all of it: of nodes that are still in lists above ``LONG`` then, an element of at most ``RARE`` sets is rare. Two
+similar sets that share a rare one share the rarest that they share, which is among the rarest fifth of both, and meet there. Two
+that share none share common ones only, so that both must have ``s (n + m) / (1 + s)`` of these: the rounds leave out all others. Lists are grouped by sums and minima only, which are made before
 the shuffle, so no task holds a whole list. Pairs of which fewer than ``AGREE`` of the minimum hashes agree go before sets are
 fetched: at similarity 0.8 that happens to one pair in six million.
 """
@@ -37,6 +40,10 @@ BROADCAST_ROWS = 500_000
 GROUP, AGREE = 8, 74
 #: How many times as many nodes of a list are held against the others in each round as in the one before.
 MORE = 16
+#: Nodes of a list beyond which their elements are weighed; sets that have a rare element at most; slots of the table of counts.
+LONG, RARE, SLOTS = 16, 64, 1 << 22
+#: Two sets have at most so many elements together as ``REACH`` times those that similar ones share.
+REACH = (1 + SIMILARITY) / SIMILARITY
 _MIX = np.random.default_rng(5).integers(0, 1 << 32, (2, ROWS * BANDS), dtype=np.uint32)
 _MIX[0] |= 1
 
@@ -94,6 +101,54 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "set"])
 
 
+def _slots_of(size: int):
+    """Rows ``(slot, many)``: how many elements of a batch's sets fall into each of ``size`` slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                elements = batch.column(0).slice(at, 1024).flatten().to_numpy(zero_copy_only=False)
+                slot, many = np.unique(elements & (size - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(many, pa.int64())], names=["slot", "many"])
+
+    return run
+
+
+def _weights_by(sent):
+    """Rows ``(node, n, root, common, rare)``: how many elements are not rare, and the rare ones of the rarest fifth and one more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, rare = [], []
+            sizes = [len(x) for x in batch.column("set")]
+            for x, n in zip(batch.column("set"), sizes, strict=True):
+                s = x.values.to_numpy(zero_copy_only=False)
+                many = sent.value[s & (len(sent.value) - 1)]
+                common.append(int((many > RARE).sum()))
+                first = np.lexsort((s, many))[: int((1 - SIMILARITY) * n + 1e-6) + 1]
+                rare.append(s[first][(many[first] > 1) & (many[first] <= RARE)])
+            columns = [batch.column("node"), pa.array(sizes, pa.int32()), batch.column("root"), pa.array(common, pa.int32()), pa.array(rare, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "root", "common", "rare"])
+
+    return run
+
+
+def _weights(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes of ``crowd(node, root)`` with their rare elements. Sets that have an element are counted by slots, of which
+    elements may share one: a rare element may count as common, which costs pairs and loses none."""
+    own = stored(sets.join(bounded(crowd), "node").select("node", "root", "set"), "near-crowd")
+    elements = own.agg(F.sum(F.size("set").cast("long"))).first()[0] or 0
+    size = min(SLOTS, 1 << (4 * elements + 1).bit_length())
+    counts = own.select("set").mapInArrow(_slots_of(size), "slot long, many long").groupBy("slot").agg(F.sum("many").alias("many")).where("many > 1").toArrow()  # SLOTS rows at most
+    table = np.ones(size, dtype=np.uint8)
+    table[counts["slot"].to_numpy()] = np.minimum(counts["many"].to_numpy(), 255)
+    sent = own.sparkSession.sparkContext.broadcast(table)
+    out = stored(own.mapInArrow(_weights_by(sent), "node long, n int, root long, common int, rare array<long>"), "near-weights")
+    sent.unpersist()
+    discard(own)
+    return out
+
+
 def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -135,7 +190,10 @@ def _links(lists: DataFrame, pairs: DataFrame, sketches: DataFrame, sets: DataFr
     """``(node, root)`` of the nodes that are linked to another one; None if none is. ``pairs`` are looked at first."""
     sized = F.least("m", "n") >= F.lit(SIMILARITY) * F.greatest("m", "n") - 1e-6
     ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    unknown = F.col("common_a").isNull() | F.col("common_b").isNull()
+    fits = unknown | (F.least("common_a", "common_b") * REACH + 1e-6 >= F.col("m") + F.col("n"))
     done = lists.sparkSession.createDataFrame([], "key long, node long")
+    lists = lists.withColumn("common", F.lit(None).cast("int"))  # unknown: nothing is left out
     parts, links, buckets = None, None, None
     while True:
         found = _alike(pairs, sketches, sets)
@@ -143,9 +201,9 @@ def _links(lists: DataFrame, pairs: DataFrame, sketches: DataFrame, sets: DataFr
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             parts = components(links)
-        rooted = lists.select("key", "node", "n").withColumn("root", F.col("node"))
+        rooted = lists.select("key", "node", "n", "common").withColumn("root", F.col("node"))
         if parts is not None:
-            rooted = lists.select("key", "node", "n").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rooted = lists.select("key", "node", "n", "common").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
         main = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("many")).where("parts > 1")
         lists = stored(rooted.join(main.select("key", F.col("top.root").alias("main"), "many"), "key"), "near-open")  # lists of several parts
@@ -153,16 +211,29 @@ def _links(lists: DataFrame, pairs: DataFrame, sketches: DataFrame, sets: DataFr
             buckets = 1
             pairs = stored(_dealt(lists).where(F.col("root_a") != F.col("root_b")).where(sized).select(*ends).distinct(), "near-pairs")
             continue
+        meet = None
+        if buckets == 1:
+            crowd = stored(lists.where(F.col("many") > LONG).select("node", "root").distinct(), "near-crowded")
+            if not crowd.isEmpty():
+                weights = _weights(crowd, sets)
+                lists = stored(lists.drop("common").join(weights.select("node", "common"), "node", "left"), "near-weighed")
+                rare = weights.select("node", "n", "root", F.explode("rare").alias("element"))
+                left = rare.select("element", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"))
+                right = rare.select("element", F.col("node").alias("b"), "n", F.col("root").alias("root_b"))
+                meet = left.join(right, "element").where("a < b").where(F.col("root_a") != F.col("root_b")).where(sized).select("a", "b")
         buckets *= MORE
-        rest = lists.where("root <> main").join(done, ["key", "node"], "left_anti")
-        drawn = rest.groupBy("key", F.pmod(F.xxhash64("node", F.lit(buckets)), F.lit(buckets)).alias("bucket")).agg(F.min(F.struct("node", "n", "root")).alias("p"))
-        pivots = stored(drawn.select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.root").alias("root_a")), "near-pivots")
-        if pivots.isEmpty():
+        # of a list whose nodes are all weighed, those that no other one's size fits are held against none
+        lows = lists.groupBy("key").agg(F.min(F.when(F.col("common").isNull(), -1).when(F.col("common") >= SIMILARITY * F.col("n") - 1e-6, F.col("n"))).alias("low"))
+        rest = lists.where("root <> main").join(done, ["key", "node"], "left_anti").join(lows, "key")
+        rest = rest.where((F.col("low") < 0) | (F.col("common") * REACH + 1e-6 >= F.col("n") + F.greatest(SIMILARITY * F.col("n"), "low")))
+        drawn = rest.groupBy("key", F.pmod(F.xxhash64("node", F.lit(buckets)), F.lit(buckets)).alias("bucket")).agg(F.min(F.struct("node", "n", "root", "common")).alias("p"))
+        pivots = stored(drawn.select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.root").alias("root_a"), F.col("p.common").alias("common_a")), "near-pivots")
+        if meet is None and pivots.isEmpty():
             return parts
         done = done.union(pivots.select("key", F.col("a").alias("node")))
-        others = lists.select("key", F.col("node").alias("b"), "n", F.col("root").alias("root_b"))
-        pairs = bounded(pivots).join(others, "key").where(F.col("root_a") != F.col("root_b")).where(sized).select(*ends).distinct()
-        pairs = stored(pairs, "near-pairs")
+        others = lists.select("key", F.col("node").alias("b"), "n", F.col("root").alias("root_b"), F.col("common").alias("common_b"))
+        pairs = bounded(pivots).join(others, "key").where(F.col("root_a") != F.col("root_b")).where(sized & fits).select(*ends)
+        pairs = stored((pairs if meet is None else pairs.union(meet)).distinct(), "near-pairs")
 
 
 def band_lists(own: DataFrame) -> DataFrame:
