@@ -87,6 +87,25 @@ def test_nodes_near_a_large_group_do_not_meet_all_of_it(spark, monkeypatch):
     assert sum(looked) < 50 * len(rows)
 
 
+def test_near_copies_that_are_not_linked_meet_few_of_their_group(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = []
+    for group, least in (("a", 1), ("b", 2)):  # the second has no text that is near to most others
+        base = [f"{group}{i}" for i in range(150)]
+        texts += [base] * (least == 1) + [edited(rng, base, int(rng.integers(least, 9))) for _ in range(400)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    looked, alike = [], N._alike
+
+    def counted(pairs, sketches, sets):
+        looked.append(pairs.count())
+        return alike(pairs, sketches, sets)
+
+    monkeypatch.setattr(N, "_alike", counted)
+    want = sorted(survivors(rows))
+    assert sorted(drop(spark, rows)) == want and 300 < len(want) < 700
+    assert sum(looked) < 10 * len(rows)
+
+
 def test_simhash_candidates_connect_as_all_pairs_do(spark):
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(150)]

@@ -5,15 +5,18 @@ checked on the sets themselves. Texts of equal sets are one node. Candidates com
 the distinct ``PAIR``-word shingles that differ in at most ``DISTANCE`` bits, by its inverted index of byte positions and its
 tallies. Such fingerprints miss some pairs of similarity 0.8, so that the parts which they leave unjoined are sought in bands of
 ``ROWS`` minimum hashes: of ``BANDS`` bands at least one agrees with probability ``1 - (1 - s ** ROWS) ** BANDS`` at similarity
-``s``, 0.99993 at 0.8. A list of a band is dealt at random into groups of ``GROUP`` first, twice, and one node of each group is held
-against the rest of it; then, in each round, some of the nodes that are not in the list's largest part yet are held against
-all others, until none is left that has not been held against all outside its own part. So a list of copies costs its length
-and not its square, and no pair of unjoined parts is left out. Nor do nodes that are like a large group, but not enough to be
-linked, meet all of it: of nodes that are still in lists above ``LONG`` then, an element of at most ``RARE`` sets is rare. Two
-similar sets that share a rare one share the rarest that they share, which is among the rarest fifth of both, and meet there. Two
-that share none share common ones only, so that both must have ``s (n + m) / (1 + s)`` of these: the rounds leave out all others. Lists are grouped by sums and minima only, which are made before
-the shuffle, so no task holds a whole list. Pairs of which fewer than ``AGREE`` of the minimum hashes agree go before sets are
-fetched: at similarity 0.8 that happens to one pair in six million.
+``s``, 0.99993 at 0.8. Of each list of a band the node that meets the most others, counted in all its lists, is held against
+the rest first: it is near the middle of its group and joins most of it. Then what is left is dealt at random into groups of
+``GROUP``, twice, and one node of each group is held against the rest of it; then, in each round, some of the nodes that are not in
+the list's largest part yet are held against all others, until none is left that has not been held against all outside its own
+part. So a list of copies costs its length and not its square, and no pair of unjoined parts is left out. Nor do nodes that are
+like a large group, but not enough to be linked, meet all of it: of nodes that are in lists above ``LONG`` after the first of these
+rounds, an element of at most ``RARE`` sets is rare. Two similar sets that share a rare one share the rarest that they share, which
+is among the rarest fifth of both, and meet there. Two that share none share common ones only, ``s (n + m) / (1 + s)`` of these at
+least; a bitmap of the common ones of each shows how many of them the other lacks at least, and the rounds leave out the pairs that
+cannot share enough. Lists are grouped by sums, minima and maxima only, which are made before the shuffle, so no task holds a whole
+list. Pairs of which fewer than ``AGREE`` of the minimum hashes agree go before sets are fetched: at similarity 0.8 that happens to
+one pair in six million.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import simhash
@@ -44,6 +47,8 @@ MORE = 16
 LONG, RARE, SLOTS = 16, 64, 1 << 22
 #: Two sets have at most so many elements together as ``REACH`` times those that similar ones share.
 REACH = (1 + SIMILARITY) / SIMILARITY
+#: Longs of the bitmap of a node's common elements.
+LONGS = 8
 _MIX = np.random.default_rng(5).integers(0, 1 << 32, (2, ROWS * BANDS), dtype=np.uint32)
 _MIX[0] |= 1
 
@@ -115,35 +120,39 @@ def _slots_of(size: int):
 
 
 def _weights_by(sent):
-    """Rows ``(node, n, root, common, rare)``: how many elements are not rare, and the rare ones of the rarest fifth and one more."""
+    """Rows ``(node, n, common, bits, rare)``: how many elements are not rare, a bitmap of these, and the rare ones of the rarest
+    fifth and one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, rare = [], []
+            common, bits, rare = [], [], []
             sizes = [len(x) for x in batch.column("set")]
             for x, n in zip(batch.column("set"), sizes, strict=True):
                 s = x.values.to_numpy(zero_copy_only=False)
                 many = sent.value[s & (len(sent.value) - 1)]
                 common.append(int((many > RARE).sum()))
+                bit = np.zeros(64 * LONGS, dtype=bool)
+                bit[(s[many > RARE] >> 32) & (64 * LONGS - 1)] = True
+                bits.append(np.packbits(bit).view(np.int64))
                 first = np.lexsort((s, many))[: int((1 - SIMILARITY) * n + 1e-6) + 1]
                 rare.append(s[first][(many[first] > 1) & (many[first] <= RARE)])
-            columns = [batch.column("node"), pa.array(sizes, pa.int32()), batch.column("root"), pa.array(common, pa.int32()), pa.array(rare, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "root", "common", "rare"])
+            columns = [batch.column("node"), pa.array(sizes, pa.int32()), pa.array(common, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "common", "bits", "rare"])
 
     return run
 
 
 def _weights(crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """The nodes of ``crowd(node, root)`` with their rare elements. Sets that have an element are counted by slots, of which
+    """The nodes of ``crowd(node)`` with their rare elements. Sets that have an element are counted by slots, of which
     elements may share one: a rare element may count as common, which costs pairs and loses none."""
-    own = stored(sets.join(bounded(crowd), "node").select("node", "root", "set"), "near-crowd")
+    own = stored(sets.join(bounded(crowd), "node").select("node", "set"), "near-crowd")
     elements = own.agg(F.sum(F.size("set").cast("long"))).first()[0] or 0
     size = min(SLOTS, 1 << (4 * elements + 1).bit_length())
     counts = own.select("set").mapInArrow(_slots_of(size), "slot long, many long").groupBy("slot").agg(F.sum("many").alias("many")).where("many > 1").toArrow()  # SLOTS rows at most
     table = np.ones(size, dtype=np.uint8)
     table[counts["slot"].to_numpy()] = np.minimum(counts["many"].to_numpy(), 255)
     sent = own.sparkSession.sparkContext.broadcast(table)
-    out = stored(own.mapInArrow(_weights_by(sent), "node long, n int, root long, common int, rare array<long>"), "near-weights")
+    out = stored(own.mapInArrow(_weights_by(sent), "node long, n int, common int, bits array<long>, rare array<long>"), "near-weights")
     sent.unpersist()
     discard(own)
     return out
@@ -175,64 +184,83 @@ def _alike(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(found, "near-links")
 
 
+def _lacking(x: str, y: str) -> Column:
+    """How many bits of the bitmap ``x`` are not in ``y``: so many elements at least are not in the other set."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(1, LONGS)), F.bit_count(F.col(x)[0].bitwiseAND(F.bitwise_not(F.col(y)[0]))))
+
+
+def _central(lists: DataFrame) -> DataFrame:
+    """``(key, a, m, root_a)``: of each list the node that meets the most others, counted in all of its lists."""
+    met = lists.groupBy("node").agg(F.sum("many").alias("met"))
+    first = lists.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n", "root")).alias("p"))
+    return first.select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.root").alias("root_a"))
+
+
 def _dealt(lists: DataFrame) -> DataFrame:
-    """Pairs with their sizes and parts of one node of each random group of a list and the rest of the group."""
+    """Pairs with their sizes, parts and common elements of one node of each random group of a list and the rest of the group."""
     groups = F.ceil(F.col("many") / GROUP)
     deals = F.array(*(F.struct(F.lit(i).alias("deal"), F.pmod(F.xxhash64("node", "key", F.lit(i)), groups).alias("group")) for i in (1, 2)))
-    dealt = lists.select("key", F.col("node").alias("b"), "n", F.col("root").alias("root_b"), F.explode(deals).alias("g"))
-    dealt = dealt.select("key", "b", "n", "root_b", "g.deal", "g.group")
-    firsts = dealt.groupBy("key", "deal", "group").agg(F.min(F.struct("b", "n", "root_b")).alias("p"))
-    firsts = firsts.select("key", "deal", "group", F.col("p.b").alias("a"), F.col("p.n").alias("m"), F.col("p.root_b").alias("root_a"))
+    dealt = lists.select("key", F.col("node").alias("b"), "n", F.col("root").alias("root_b"), F.col("common").alias("common_b"), F.col("bits").alias("bits_b"), F.explode(deals).alias("g"))
+    dealt = dealt.select("key", "b", "n", "root_b", "common_b", "bits_b", "g.deal", "g.group")
+    firsts = dealt.groupBy("key", "deal", "group").agg(F.min(F.struct("b", "n", "root_b", "common_b", "bits_b")).alias("p"))
+    firsts = firsts.select("key", "deal", "group", F.col("p.b").alias("a"), F.col("p.n").alias("m"), F.col("p.root_b").alias("root_a"), F.col("p.common_b").alias("common_a"), F.col("p.bits_b").alias("bits_a"))
     return firsts.join(dealt, ["key", "deal", "group"])
 
 
 def _links(lists: DataFrame, pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame | None:
     """``(node, root)`` of the nodes that are linked to another one; None if none is. ``pairs`` are looked at first."""
     sized = F.least("m", "n") >= F.lit(SIMILARITY) * F.greatest("m", "n") - 1e-6
+    apart = F.col("root_a") != F.col("root_b")
     ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     unknown = F.col("common_a").isNull() | F.col("common_b").isNull()
-    fits = unknown | (F.least("common_a", "common_b") * REACH + 1e-6 >= F.col("m") + F.col("n"))
+    shared = F.least(F.col("common_a") - _lacking("bits_a", "bits_b"), F.col("common_b") - _lacking("bits_b", "bits_a"))  # at most
+    fits = unknown | (shared * REACH + 1e-6 >= F.col("m") + F.col("n"))
     done = lists.sparkSession.createDataFrame([], "key long, node long")
-    lists = lists.withColumn("common", F.lit(None).cast("int"))  # unknown: nothing is left out
-    parts, links, buckets = None, None, None
+    lists = lists.withColumn("common", F.lit(None).cast("int")).withColumn("bits", F.lit(None).cast("array<long>"))  # unknown: nothing is left out
+    parts, links, weights, buckets = None, None, None, None
     while True:
         found = _alike(pairs, sketches, sets)
         discard(pairs)
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             parts = components(links)
-        rooted = lists.select("key", "node", "n", "common").withColumn("root", F.col("node"))
+        rooted = lists.select("key", "node", "n", "common", "bits").withColumn("root", F.col("node"))
         if parts is not None:
-            rooted = lists.select("key", "node", "n", "common").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rooted = lists.select("key", "node", "n", "common", "bits").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
         main = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("many")).where("parts > 1")
         lists = stored(rooted.join(main.select("key", F.col("top.root").alias("main"), "many"), "key"), "near-open")  # lists of several parts
+        others = lists.select("key", F.col("node").alias("b"), "n", F.col("root").alias("root_b"), F.col("common").alias("common_b"), F.col("bits").alias("bits_b"))
         if buckets is None:
-            buckets = 1
-            pairs = stored(_dealt(lists).where(F.col("root_a") != F.col("root_b")).where(sized).select(*ends).distinct(), "near-pairs")
+            buckets = 0
+            centres = stored(_central(lists), "near-centres")
+            pairs = stored(bounded(centres).join(others, "key").where(apart & sized).select(*ends).distinct(), "near-pairs")
             continue
-        meet = None
-        if buckets == 1:
-            crowd = stored(lists.where(F.col("many") > LONG).select("node", "root").distinct(), "near-crowded")
+        if buckets == 0:
+            buckets = 1
+            crowd = stored(lists.where(F.col("many") > LONG).select("node").distinct(), "near-crowded")
             if not crowd.isEmpty():
                 weights = _weights(crowd, sets)
-                lists = stored(lists.drop("common").join(weights.select("node", "common"), "node", "left"), "near-weighed")
-                rare = weights.select("node", "n", "root", F.explode("rare").alias("element"))
-                left = rare.select("element", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"))
-                right = rare.select("element", F.col("node").alias("b"), "n", F.col("root").alias("root_b"))
-                meet = left.join(right, "element").where("a < b").where(F.col("root_a") != F.col("root_b")).where(sized).select("a", "b")
+                lists = stored(lists.drop("common", "bits").join(weights.select("node", "common", "bits"), "node", "left"), "near-weighed")
+            pairs = stored(_dealt(lists).where(apart & sized & fits).select(*ends).distinct(), "near-pairs")
+            continue
+        meet = None
+        if buckets == 1 and weights is not None:
+            rare = weights.join(lists.select("node", "root").distinct(), "node").select("node", "n", "root", F.explode("rare").alias("element"))
+            left = rare.select("element", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"))
+            right = rare.select("element", F.col("node").alias("b"), "n", F.col("root").alias("root_b"))
+            meet = left.join(right, "element").where("a < b").where(apart & sized).select("a", "b")
         buckets *= MORE
         # of a list whose nodes are all weighed, those that no other one's size fits are held against none
         lows = lists.groupBy("key").agg(F.min(F.when(F.col("common").isNull(), -1).when(F.col("common") >= SIMILARITY * F.col("n") - 1e-6, F.col("n"))).alias("low"))
         rest = lists.where("root <> main").join(done, ["key", "node"], "left_anti").join(lows, "key")
         rest = rest.where((F.col("low") < 0) | (F.col("common") * REACH + 1e-6 >= F.col("n") + F.greatest(SIMILARITY * F.col("n"), "low")))
-        drawn = rest.groupBy("key", F.pmod(F.xxhash64("node", F.lit(buckets)), F.lit(buckets)).alias("bucket")).agg(F.min(F.struct("node", "n", "root", "common")).alias("p"))
-        pivots = stored(drawn.select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.root").alias("root_a"), F.col("p.common").alias("common_a")), "near-pivots")
+        drawn = rest.groupBy("key", F.pmod(F.xxhash64("node", F.lit(buckets)), F.lit(buckets)).alias("bucket")).agg(F.min(F.struct("node", "n", "root", "common", "bits")).alias("p"))
+        pivots = stored(drawn.select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.root").alias("root_a"), F.col("p.common").alias("common_a"), F.col("p.bits").alias("bits_a")), "near-pivots")
         if meet is None and pivots.isEmpty():
             return parts
         done = done.union(pivots.select("key", F.col("a").alias("node")))
-        others = lists.select("key", F.col("node").alias("b"), "n", F.col("root").alias("root_b"), F.col("common").alias("common_b"))
-        pairs = bounded(pivots).join(others, "key").where(F.col("root_a") != F.col("root_b")).where(sized & fits).select(*ends)
+        pairs = bounded(pivots).join(others, "key").where(apart & sized & fits).select(*ends)
         pairs = stored((pairs if meet is None else pairs.union(meet)).distinct(), "near-pairs")
 
 
