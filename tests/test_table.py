@@ -327,3 +327,51 @@ def test_a_version_is_published_once(spark, tmp_path):
             files.write_new(path, "two")
         assert files.read(path) == "one"
     assert files.names(f"{tmp_path}/m") == ["v1.json", "v2.json"]
+
+
+def test_small_parts_share_files(spark, tmp_path):
+    t = KeyedTable.create(spark, f"{tmp_path}/t", KEY, SCHEMA, SMALL)
+    for low, high in ((0, 6000), (3000, 3100), (20_000, 26_000)):
+        t.append(spark.range(low, high).selectExpr("cast(id as int) AS key", f"cast(id + {low} as int) AS value"))
+        t.evict()
+    m, want = t.manifest(), seen(t)
+    assert len({p.path for s in m.bottom for p in s.parts}) <= 40 and max(p.rows for s in m.bottom for p in s.parts) <= 20
+    apart = {(p.path, p.start) for s in m.bottom for p in s.parts if p.high < 3000 or p.low >= 3100}
+    assert t.merge_bottom(0, 2) == "success"
+    (bottom,) = t.manifest().bottom
+    # parts apart are carried, though their files have others that are not
+    assert apart <= {(p.path, p.start) for p in bottom.parts} and bottom.rows == 12_000 and seen(t) == want
+    assert max(p.rows for p in bottom.parts) <= 20
+    assert [x for x in seen(t, low=2990, high=3110) if 2990 <= x[0] <= 3110] == [x for x in want if 2990 <= x[0] <= 3110]
+    b = Backup(t, f"{tmp_path}/b")
+    b.take()
+    t.vacuum()
+    assert seen(t) == want == seen(b.restore(f"{tmp_path}/r"))
+
+
+def test_files_mostly_dead_are_rewritten():
+    from tidelog.sources.table import Part, _not_worn
+
+    a, b, c = Part("a", 4, 0, 3, 0, 0, 10), Part("b", 5, 4, 8, 0, 0, 10), Part("c", 3, 9, 9)
+    assert _not_worn([a, b, c]) == [b, c]
+
+
+def test_parts_apart_are_found_by_one_sort():
+    import random
+
+    from tidelog.sources.table import Part, _apart
+
+    draw = random.Random(1)
+    for n in range(300):
+        parts = []
+        for k in range(draw.randrange(1, 12)):
+            low = draw.randrange(60)
+            bare = n % 5 == 0 and draw.random() < 0.1
+            parts.append((draw.randrange(4), Part(str(k), 1) if bare else Part(str(k), 1, low, low + draw.randrange(4))))
+        want = [p for i, p in parts if p.low is not None and not any(j != i and p.overlaps(q.low, q.high) for j, q in parts)]
+        assert _apart(parts) == want
+    from time import process_time
+
+    start = process_time()
+    many = [(k % 3, Part(str(k), 1, 2 * k, 2 * k + k % 7)) for k in range(100_000)]
+    assert _apart(many) and process_time() - start < 20

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from itertools import accumulate
@@ -35,6 +37,8 @@ from tidelog.spec import DELETED, LAYER, OP, IsDeleted, KeySpec, Options, delete
 
 #: Names the folders in which a segment keeps the files that go between those carried over.
 GAP = "__gap"
+#: Parts of a rewrite that get a file each; of more, so many share a file and a task takes so many records. Rows of a delta's file.
+FILES, PER_FILE, TASK_ROWS, DELTA_ROWS = 200, 256, 50_000, 3_000_000
 MERGE_RESULTS = ("success", "nothing_to_merge", "cancelled_by_user", "failure", "another_merge_running", "range_invalid")
 
 
@@ -46,13 +50,22 @@ def merge_layers(log: DataFrame, key: KeySpec, layers: list[int], *, older_remai
 
 @dataclass
 class Part:
-    """One file of a segment: its rows and tombstones, and the range of the first key column where that has a plain order."""
+    """What a merge rewrites or carries: a file of a segment, or rows of it from ``start`` on; its rows and tombstones, and the range
+    of the first key column where that has a plain order. ``of``: rows that the file was written with."""
 
     path: str
     rows: int
     low: object = None
     high: object = None
     tombstones: int = 0
+    start: int = 0
+    of: int = 0
+
+    def takes(self, other: Part) -> None:
+        """Grow by the part that follows in the file."""
+        self.rows, self.tombstones = self.rows + other.rows, self.tombstones + other.tombstones
+        self.low = min((x for x in (self.low, other.low) if x is not None), default=None)
+        self.high = max((x for x in (self.high, other.high) if x is not None), default=None)
 
     def overlaps(self, low: object, high: object) -> bool:
         if None in (self.low, self.high, low, high):
@@ -74,6 +87,38 @@ class Segment:
         return sum(p.rows for p in self.parts)
 
 
+def _apart(parts: list[tuple[int, Part]]) -> list[Part]:
+    """Of parts with their segments, those that have a range and overlap none of another segment: one sort, then each is sought."""
+    bare = {i for i, p in parts if p.low is None}
+    ranged = sorted(((p.low, i, p.high) for i, p in parts if p.low is not None), key=lambda x: x[0])
+    lows, tops = [low for low, _, _ in ranged], []
+    first = second = None  # the highest ends so far, of two segments
+    for _, i, high in ranged:
+        if first is None or first[1] == i or high > first[0]:
+            second = first if first is not None and first[1] != i else second
+            first = (high, i) if first is None or high > first[0] else first
+        elif second is None or high > second[0]:
+            second = (high, i)
+        tops.append((first, second))
+    out = []
+    for i, p in parts:
+        if p.low is None or bare - {i}:
+            continue
+        top, next_top = tops[bisect_right(lows, p.high) - 1]
+        other = next_top if top[1] == i else top
+        if other is None or other[0] < p.low:
+            out.append(p)
+    return out
+
+
+def _not_worn(parts: list[Part]) -> list[Part]:
+    """Parts to carry, without those of files of which less than half would be left: these are rewritten."""
+    left = Counter()
+    for p in parts:
+        left[p.path] += p.rows
+    return [p for p in parts if 2 * left[p.path] >= p.of]
+
+
 @dataclass
 class Manifest:
     version: int
@@ -176,26 +221,44 @@ class KeyedTable:
 
     # -- segments
 
-    def _write(self, rows: DataFrame, *, around: list[Part] | None = None) -> Segment:
-        """Write a segment, each file sorted by key, so that row groups can be skipped. No file reaches over a file of ``around``."""
+    def _write(self, rows: DataFrame, *, around: list[Part] | None = None, per_file: int = 0) -> Segment:
+        """Write a segment, each file sorted by key, so that row groups can be skipped. A delta (``per_file`` 0) has a part a file. Other
+        parts have ``part_max`` rows at most and lie up to ``per_file`` in a file. No part reaches over one of ``around``."""
         segment = Segment(uuid.uuid4().hex)
         path = f"{self.path}/data/{segment.id}"
         codec = {"none": "uncompressed"}.get(self.options.compression, self.options.compression)
-        own, rows = self._ranged_by(), rows.select(*self._columns())
+        own, rows, most = self._ranged_by(), rows.select(*self._columns()), self.options.part_max
         lows = sorted(p.low for p in around or [] if p.low is not None)
-        if lows:
-            kind = T.StringType() if isinstance(lows[0], str) else T.LongType()
-            rows = Cuts.of(lows, kind).numbered(rows, [(own, True)], GAP)
-        gap = [GAP] if lows else []
-        writer = rows.sortWithinPartitions(*gap, *self.key.order()).write.option("compression", codec).option("maxRecordsPerFile", self.options.part_max)
+        gaps = Cuts.of(lows, T.StringType() if isinstance(lows[0], str) else T.LongType()) if lows else None
+        gap = [GAP] if gaps and per_file == 1 else []
+        if gap:
+            rows = gaps.numbered(rows, [(own, True)], GAP)
+        writer = rows.sortWithinPartitions(*gap, *self.key.order()).write.option("compression", codec).option("maxRecordsPerFile", most * per_file or max(most, DELTA_ROWS))
         (writer.partitionBy(*gap) if gap else writer).parquet(path)
-        aggs = [F.count("*").alias("n"), F.sum(F.col(DELETED).cast("long")).alias("t"), F.max(OP).alias("top"), *((F.min(own).alias("low"), F.max(own).alias("high")) if own is not None else ())]
+        place = F.col("_metadata.row_index")
+        aggs = [F.count("*").alias("n"), F.sum(F.col(DELETED).cast("long")).alias("t"), F.max(OP).alias("top"), F.min(place).alias("start"), *((F.min(own).alias("low"), F.max(own).alias("high")) if own is not None else ())]
         self._top = 0
         written = self.spark.read.schema(self._stored()).option("recursiveFileLookup", "true").parquet(path)
-        for r in written.groupBy(F.col("_metadata.file_path").alias("file")).agg(*aggs).collect():  # a row per file
+        by = [F.col("_metadata.file_path").alias("file")]
+        if per_file > 1:
+            by += [F.floor(place / most).alias("block"), F.col(GAP).alias("gap") if gaps else F.lit(0).alias("gap")]
+            if gaps:
+                written = gaps.numbered(written.select("*", "_metadata"), [(own, True)], GAP)
+        last = None
+        for r in sorted(written.groupBy(*by).agg(*aggs).collect(), key=lambda r: (r["file"], r["start"])):  # a row per part
             name = f"data/{segment.id}/{r['file'].split(f'/data/{segment.id}/', 1)[1]}".replace("%3D", "=")
-            segment.parts.append(Part(name, r["n"], *((r["low"], r["high"]) if own is not None else (None, None)), r["t"] or 0))
+            part = Part(name, r["n"], *((r["low"], r["high"]) if own is not None else (None, None)), r["t"] or 0, r["start"])
             self._top = max(self._top, r["top"] or 0)
+            if per_file > 1 and last == (name, r["gap"]) and segment.parts[-1].rows + part.rows <= most:
+                segment.parts[-1].takes(part)
+            else:
+                segment.parts.append(part)
+            last = (name, r["gap"]) if per_file > 1 else None
+        sizes = Counter()
+        for p in segment.parts:
+            sizes[p.path] += p.rows
+        for p in segment.parts:
+            p.of = sizes[p.path]
         return segment
 
     def _ranged_by(self) -> Column | None:
@@ -212,10 +275,14 @@ class KeyedTable:
             return F.unix_date(c)
         return F.unix_micros(c) if isinstance(kind, T.TimestampType) else None
 
-    def _spread(self, log: DataFrame, rows: int) -> DataFrame:
-        """A log of at most ``rows`` records in ranges of keys, one for each file to come, of ``part_min`` rows if none are dropped.
-        The shuffle serves the merge, too: a key's records meet in one range."""
-        return log.repartitionByRange(max(1, -(-rows // self.options.part_min)), *self.key.order())
+    def _spread(self, log: DataFrame, rows: int) -> tuple[DataFrame, int]:
+        """A log of at most ``rows`` records in ranges of keys, and the parts that a file gets. There is a range for each file to come, of
+        ``part_min`` rows if none are dropped; where these are many and small, a range has many parts. The shuffle serves the merge,
+        too: a key's records meet in one range."""
+        ranges, per_file = max(1, -(-rows // self.options.part_min)), 1
+        if ranges > FILES and (per_file := max(1, min(PER_FILE, TASK_ROWS // self.options.part_max))) > 1:
+            ranges = -(-rows // TASK_ROWS)
+        return log.repartitionByRange(ranges, *self.key.order()), per_file
 
     def _touched(self, old: list[Part], delta: list[Part]) -> list[Part]:
         """Files of ``old`` in whose range some record of ``delta`` lies, or that have no range. At most a number per file comes
@@ -253,12 +320,35 @@ class KeyedTable:
     def _read(self, parts: list[Part]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], self._stored())
-        for folder in {p.path.rsplit("/", 1)[0] for p in parts}:
-            there = set(self.files.names(f"{self.path}/{folder}"))
-            for p in parts:
-                if p.path.startswith(f"{folder}/") and p.path.rsplit("/", 1)[1] not in there:
-                    raise CorruptTableError(f"{p.path} is missing")
-        return self.spark.read.schema(self._stored()).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{p.path}" for p in parts))
+        files: dict[str, list[Part]] = {}
+        for p in parts:
+            files.setdefault(p.path, []).append(p)
+        there = {folder: set(self.files.names(f"{self.path}/{folder}")) for folder in {f.rsplit("/", 1)[0] for f in files}}
+        for f in files:
+            folder, name = f.rsplit("/", 1)
+            if name not in there[folder]:
+                raise CorruptTableError(f"{f} is missing")
+        partly = {f: own for f, own in files.items() if sum(p.rows for p in own) < own[0].of}
+        whole = [f for f in files if f not in partly]
+        if not partly:
+            return self._files(whole)
+        runs = []  # rows that count, by file
+        for f, own in partly.items():
+            run: list[list[int]] = []
+            for p in sorted(own, key=lambda p: p.start):
+                if run and run[-1][1] == p.start:
+                    run[-1][1] += p.rows
+                else:
+                    run.append([p.start, p.start + p.rows])
+            runs.append((f, run))
+        wanted = self.spark.createDataFrame(runs, "__path string, __runs array<array<bigint>>")
+        rows = self._files([*partly]).select("*", F.substring_index("_metadata.file_path", "/", -3).alias("__path"), F.col("_metadata.row_index").alias("__row"))
+        inside = F.exists("__runs", lambda x: (F.col("__row") >= x[0]) & (F.col("__row") < x[1]))
+        rows = rows.join(F.broadcast(wanted), "__path").where(inside).select(*self._columns())  # a row per file
+        return self._files(whole).unionByName(rows) if whole else rows
+
+    def _files(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self._stored()).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{p}" for p in paths))
 
     def log(self, version: int | None = None, *, kinds: tuple[str, ...] = ("open", "sealed", "disk", "bottom"), low: object = None, high: object = None) -> DataFrame:
         """All records of a version with their layer, 0 the newest. Files outside ``[low, high]`` of the first key column are left out."""
@@ -393,9 +483,9 @@ class KeyedTable:
             log = self._read(touched).withColumn(LAYER, F.lit(len(m.sealed)))
             for i, s in enumerate(m.sealed):
                 log = log.unionByName(self._read(s.parts).withColumn(LAYER, F.lit(i)))
-            log = self._spread(log, sum(p.rows for p in (*touched, *delta)))
+            log, per_file = self._spread(log, sum(p.rows for p in (*touched, *delta)))
             merged = merge_layers(log, self.key, list(range(len(m.sealed) + 1)), older_remain=bool(m.bottom), is_deleted=self.is_deleted, in_ranges=True)
-            new = self._write(merged.drop(LAYER), around=clean)
+            new = self._write(merged.drop(LAYER), around=clean, per_file=per_file)
             new.parts = sorted([*clean, *new.parts], key=lambda p: (p.low is not None, p.low))
             if self._cancelled:
                 result = "cancelled_by_user"
@@ -427,16 +517,18 @@ class KeyedTable:
         chosen = m.bottom[start : stop + 1]
         older = stop < len(m.bottom) - 1
         all_parts = [(i, p) for i, s in enumerate(chosen) for p in s.parts]
-        # a file that no other chosen segment's files overlap needs no rewriting, if its tombstones may stay
-        clean = [p for i, p in all_parts if p.low is not None and (older or not p.tombstones) and self.is_deleted is deleted_flag and not any(j != i and p.overlaps(q.low, q.high) for j, q in all_parts)]
-        rest = [(i, p) for i, p in all_parts if p not in clean]
+        # a part that no other chosen segment's parts overlap needs no rewriting, if its tombstones may stay
+        apart = _apart(all_parts) if self.is_deleted is deleted_flag else []
+        clean = _not_worn([p for p in apart if older or not p.tombstones])
+        carried = {id(p) for p in clean}
+        rest = [(i, p) for i, p in all_parts if id(p) not in carried]
         log = self._read([]).withColumn(LAYER, F.lit(0))
         for i in range(len(chosen)):
             own = [p for j, p in rest if j == i]
             log = log.unionByName(self._read(own).withColumn(LAYER, F.lit(i))) if own else log
-        log = self._spread(log, sum(p.rows for _, p in rest))
+        log, per_file = self._spread(log, sum(p.rows for _, p in rest))
         merged = merge_layers(log, self.key, list(range(len(chosen))), older_remain=older, is_deleted=self.is_deleted, in_ranges=True)
-        new = self._write(merged.drop(LAYER), around=clean)
+        new = self._write(merged.drop(LAYER), around=clean, per_file=per_file)
         new.parts = sorted([*clean, *new.parts], key=lambda p: (p.low is not None, p.low))
         if self._cancelled:
             self._cancelled = False
