@@ -375,3 +375,36 @@ def test_parts_apart_are_found_by_one_sort():
     start = process_time()
     many = [(k % 3, Part(str(k), 1, 2 * k, 2 * k + k % 7)) for k in range(100_000)]
     assert _apart(many) and process_time() - start < 20
+
+
+def test_merges_of_many_small_parts(spark, tmp_path):
+    t = KeyedTable.create(spark, f"{tmp_path}/t", KEY, SCHEMA, SMALL.clone(disk_max=100_000))
+    want = {}
+    for step, low in ((1, 0), (3, 1), (4000, 7), (2, 0)):
+        rows = spark.range(low, 8000, step).selectExpr("cast(id as int) AS key", f"cast(id + {step} as int) AS value", f"id % 50 = 0 AS {DELETED}")
+        before = t.manifest().disk
+        t.append(rows)
+        t.evict()
+        for i in range(low, 8000, step):
+            want.pop(i, None)
+            if i % 50:
+                want[i] = i + step
+        parts = t.manifest().disk.parts
+        assert len({p.path for p in parts}) <= 12 and max(p.rows for p in parts) <= 20 and seen(t) == sorted(want.items()) and t.count() == len(want)
+        if step == 4000:  # two keys: all parts but two are carried, and none of them is reached over
+            assert len({(p.path, p.start) for p in before.parts} - {(p.path, p.start) for p in parts}) == 2
+            ends = sorted((p.low, p.high) for p in parts)
+            assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_many_cuts_are_not_copied_into_rows(spark):
+    from tidelog.operators.ranks import Cuts
+
+    for kind, make in ((T.LongType(), int), (T.StringType(), lambda i: f'é"{i:04}')):
+        cuts = Cuts.of([make(i) for i in range(0, 900, 3)], kind)
+        rows = [(i, make(i)) for i in range(-2, 905)] + [(None, None)]
+        df = spark.createDataFrame(rows, T.StructType([T.StructField("i", T.LongType()), T.StructField("k", kind)]))
+        out = cuts.numbered(df, [(df["k"], True)], "n")
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+        keys = sorted(cuts.rows)
+        assert {r["i"]: r["n"] for r in out.collect()} == {i: 0 if k is None else sum(c[0] <= k for c in keys) for i, k in rows}

@@ -7,6 +7,9 @@ its part and the size of the parts before, which is looked up by number: no row
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,22 +66,29 @@ class Cuts:
         """``df`` with the number of each row's part, from 0: how many cuts are at or before it."""
         if not self.rows:
             return df.withColumn(out, F.lit(0))
+        own = [c for c, _ in order]
+        kind = self.schema[0].dataType
+        if len(own) == 1 and kind in (T.LongType(), T.StringType()) and all(r[0] is not None for r in self.rows):
+            # as a constant: a column of many cuts would be copied into each row
+            table = F.from_json(F.lit(json.dumps([r[0] for r in self.rows])), f"array<{kind.simpleString()}>")
+            return df.withColumn(out, self._sought(own, lambda i: [F.get(table, i)]))
         name = unused(df, "__cuts")
         one = df.sparkSession.createDataFrame(self.rows, self.schema).coalesce(1).select(F.struct(*self.kinds).alias("c"), F.monotonically_increasing_id().alias("i"))
         one = one.agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("all")).select(F.transform("all", lambda x: x["c"]).alias(name))
-        table = F.col(name)
-        own = [c for c, _ in order]
+        found = self._sought(own, lambda i: [F.get(F.col(name), i)[k] for k in self.kinds])
+        return df.join(F.broadcast(one)).withColumn(out, found).drop(name)  # one row of cuts
+
+    def _sought(self, own: list[Column], cut: Callable[[Column], list[Column]]) -> Column:
+        """How many cuts are at or before the values ``own``: halving."""
 
         def step(acc: Column, _: Column) -> Column:
             mid = F.floor((acc["a"] + acc["b"]) / 2).cast("int")
-            cut = F.get(table, mid)
-            after = precedes([(v, cut[k], up) for v, k, up in zip(own, self.kinds, self.up, strict=True)])
+            after = precedes(list(zip(own, cut(mid), self.up, strict=True)))
             halved = F.struct(F.when(after, acc["a"]).otherwise(mid + 1).alias("a"), F.when(after, mid).otherwise(acc["b"]).alias("b"))
             return F.when(acc["a"] < acc["b"], halved).otherwise(acc)
 
         start = F.struct(F.lit(0).alias("a"), F.lit(len(self.rows)).alias("b"))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(len(self.rows).bit_length())), start, step, lambda acc: acc["a"])
-        return df.join(F.broadcast(one)).withColumn(out, found).drop(name)  # one row of cuts
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(self.rows).bit_length())), start, step, lambda acc: acc["a"])
 
 
 def with_places(df: DataFrame, order: list[SortKey], *, start: int = 0, out: str) -> DataFrame:

@@ -527,7 +527,7 @@ def stored_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(NEWEST)
 def stored_seal_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six batches, each merged into the disk slot in files of a few keys; files that a batch does not touch are carried over."""
+    """Six batches, each merged into the disk slot in parts of a few keys; parts that a batch does not touch are carried over."""
     log = event_log(spark, sf_dir)
     t = new_table(spark, log, part_min=5, part_max=20)
     for b in in_batches(log, 6):

@@ -285,16 +285,18 @@ class KeyedTable:
         return log.repartitionByRange(ranges, *self.key.order()), per_file
 
     def _touched(self, old: list[Part], delta: list[Part]) -> list[Part]:
-        """Files of ``old`` in whose range some record of ``delta`` lies, or that have no range. At most a number per file comes
+        """Parts of ``old`` in whose range some record of ``delta`` lies, or that have no range. At most a number per part comes
         to the driver."""
         own = self._ranged_by()
-        near = sorted((p for p in old if p.low is not None and any(p.overlaps(d.low, d.high) for d in delta)), key=lambda p: (p.low, p.high))
+        ends = [x for d in delta for x in (d.low, d.high)]
+        low, high = (None, None) if None in ends or not ends else (min(ends), max(ends))
+        near = sorted((p for p in old if p.low is not None and p.overlaps(low, high)), key=lambda p: (p.low, p.high))
         bare = [p for p in old if p.low is None]
         if own is None or not near:
             return bare + near
-        keys = self._read(delta).select(own.alias("k"))
+        keys = self._read(delta).select(own.alias("k")).distinct()
         order = [(F.col("k"), True)]
-        # per number of files that begin at or before a key, the least key
+        # per number of parts that begin at or before a key, the least key
         least = Cuts.of([p.low for p in near], keys.schema["k"].dataType).numbered(keys, order, "stop").groupBy("stop").agg(F.min("k").alias("k"), F.max(F.col("k").isNull()).alias("null")).collect()
         tops = list(accumulate((p.high for p in near), max))
         hit: set[int] = set()
@@ -461,7 +463,8 @@ class KeyedTable:
         return True
 
     def merge(self) -> str:
-        """Merge sealed layers and the disk slot into a new disk slot, without touching files that no sealed record overlaps.
+        """Merge sealed layers and the disk slot into a new disk slot, without touching parts that no sealed record overlaps, but for
+        those left in files of which most is gone.
 
         Tombstones go unless bottom segments remain. A new slot above ``disk_max`` rows moves to the bottom, whole.
         """
@@ -476,10 +479,12 @@ class KeyedTable:
         try:
             delta = [p for s in m.sealed for p in s.parts]
             old = m.disk.parts if m.disk else []
-            touched = self._touched(old, delta)
+            hit = {id(p) for p in self._touched(old, delta)}
             if not m.bottom:  # tombstones that hide nothing go
-                touched += [p for p in old if p.tombstones and p not in touched]
-            clean = [p for p in old if p not in touched]
+                hit |= {id(p) for p in old if p.tombstones}
+            clean = _not_worn([p for p in old if id(p) not in hit])
+            carried = {id(p) for p in clean}
+            touched = [p for p in old if id(p) not in carried]
             log = self._read(touched).withColumn(LAYER, F.lit(len(m.sealed)))
             for i, s in enumerate(m.sealed):
                 log = log.unionByName(self._read(s.parts).withColumn(LAYER, F.lit(i)))
