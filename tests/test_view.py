@@ -244,3 +244,23 @@ def test_multi_get_keeps_both_of_equal_names(spark):
     keys = spark.createDataFrame([(1, "k", True), (2, "l", False)], "key int, value string, found boolean")
     got = sorted(R.multi_get(view, keys, KEY).collect())
     assert [(r["key"], r["value"], r["view_value"], r["found"]) for r in got] == [(1, "k", "v", True), (2, "l", None, False)]
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_skip_ranks_only_rows_near_its_place(spark, monkeypatch, ascending):
+    from tidelog.operators import ranks
+
+    monkeypatch.setattr(ranks, "NEAR_ROWS", 100)
+    key = KeySpec.of(KeyColumn("key", ascending=ascending))
+    # every key thrice, one key 700 times, some nulls
+    rows = [(i * 7919 % 1001, j, "x") for i in range(1001) for j in range(3)] + [(500, j, "y") for j in range(700)] + [(None, j, "z") for j in range(9)]
+    df = spark.createDataFrame(rows, "key int, value int, kind string").repartition(5)
+    df.cache()
+    places = sorted((r["ordinal"], (r["key"], r["value"], r["kind"])) for r in R.ordinals(df, key).collect())
+    for n in (0, 1, 4, 700, 1800, 2000, len(rows) - 1, len(rows), len(rows) + 5):
+        out = R.skip(df, key, n)
+        got = [tuple(r) for r in out.collect()]
+        want = [r for at, r in places if at >= n]
+        assert sorted(map(str, got)) == sorted(map(str, want)) and [r[0] for r in got] == [r[0] for r in want]
+        assert "Limit" not in out._jdf.queryExecution().executedPlan().toString()
+    assert R.skip(df, key, 0).count() == len(rows)

@@ -19,6 +19,8 @@ from tidelog.spec import SortKey, precedes
 
 #: Rows of one part, about; parts at most; rows that are sampled for each part.
 PART_ROWS, PARTS, PER_PART = 1_000_000, 10_000, 20
+#: Rows of a part where only one place is sought.
+NEAR_ROWS = 100_000
 
 
 def unused(df: DataFrame, base: str) -> str:
@@ -36,12 +38,12 @@ def sorted_by(order: list[SortKey]) -> list[Column]:
 class Cuts:
     """Cut points of ``df`` in an order, and the number of the part in which a row lies."""
 
-    def __init__(self, df: DataFrame, order: list[SortKey], *, parts: int | None = None) -> None:
+    def __init__(self, df: DataFrame, order: list[SortKey], *, parts: int | None = None, part_rows: int | None = None) -> None:
         self.up = [up for _, up in order]
         self.kinds = [f"k{i}" for i in range(len(order))]
         keys = df.select(*(c.alias(n) for n, (c, _) in zip(self.kinds, order, strict=True)))
-        n = keys.count()
-        parts = max(1, min(PARTS, n // PART_ROWS)) if parts is None else parts
+        n = self.size = keys.count()
+        parts = max(1, min(PARTS, n // (part_rows or PART_ROWS))) if parts is None else parts
         self.rows: list = []
         if parts > 1 and n:
             sample = keys.sample(min(1.0, 2 * PER_PART * parts / n), seed=7) if n > 2 * PER_PART * parts else keys
@@ -94,8 +96,7 @@ class Cuts:
 def with_places(df: DataFrame, order: list[SortKey], *, start: int = 0, out: str) -> DataFrame:
     """``df`` with each row's place in the order as ``out``, dense from ``start``. Rows that are equal in all columns are
     interchangeable; other ties are broken by a hash of the row. ``df`` must be the same each time it is read."""
-    tie = [c for c in df.columns if not _unhashable(df.schema[c].dataType)]
-    order = [*order, (F.xxhash64(*(F.col(f"`{c}`") for c in tie)) if tie else F.lit(0).cast("long"), True)]
+    order = _total(df, order)
     part, before = unused(df, "__part"), unused(df, "__before")
     cuts = Cuts(df, order)
     placed = cuts.numbered(df, order, part)
@@ -109,5 +110,52 @@ def with_places(df: DataFrame, order: list[SortKey], *, start: int = 0, out: str
     return placed.withColumn(before, F.get(table, F.col(part))).withColumn(out, (F.col(before) + rank - 1).cast("long")).drop(part, before)
 
 
+def from_place(df: DataFrame, order: list[SortKey], n: int) -> DataFrame:
+    """Rows of ``df`` from place ``n`` of ``with_places`` on. Of the cuts two around the place are taken, and the rows before them
+    counted; only those between them are ranked, those behind them stay. ``df`` must be the same each time it is read."""
+    if n <= 0:
+        return df
+    total = _total(df, order)
+    cuts = Cuts(df, total, part_rows=NEAR_ROWS)
+    if n >= cuts.size:
+        return df.where(F.lit(False))
+    at, wide = n * cuts.parts // cuts.size, 1
+    while True:
+        ends = [cuts.rows[i] if 0 <= i < len(cuts.rows) else None for i in (at - 1 - wide, at + wide)]
+        where, placed = _between(df, total, cuts, ends)
+        sizes = {r[where]: r["n"] for r in placed.groupBy(where).agg(F.count("*").alias("n")).collect()}  # three rows
+        before = sizes.get(0, 0)
+        if before <= n < before + sizes.get(1, 0) or ends == [None, None]:
+            break
+        wide *= 4  # the sample was off
+    rank = unused(placed, "__rank")
+    here = placed.where(F.col(where) == 1).withColumn(rank, F.row_number().over(W.partitionBy(where).orderBy(*sorted_by(total))))
+    here = here.where(F.col(rank) > n - before).drop(rank)
+    return here.unionByName(placed.where(F.col(where) == 2)).drop(where)
+
+
+def _between(df: DataFrame, order: list[SortKey], cuts: Cuts, ends: list) -> tuple[str, DataFrame]:
+    """``df`` with a column, whose name comes first, that is 0 before the first end, 1 from it on, 2 from the second on; an end may lack."""
+    out, place, fields, values = unused(df, "__where"), F.lit(1), [], []
+    for e, row in enumerate(ends):
+        if row is None:
+            continue
+        names = [unused(df, f"__end{e}{k}") for k in cuts.kinds]
+        fields += [T.StructField(name, f.dataType) for name, f in zip(names, cuts.schema.fields, strict=True)]
+        values += list(row)
+        before = precedes([(c, F.col(name), up) for (c, up), name in zip(order, names, strict=True)])
+        place = F.when(before, 0).otherwise(place) if e == 0 else F.when(~before, 2).otherwise(place)
+    if not fields:
+        return out, df.withColumn(out, place)
+    one = df.sparkSession.createDataFrame([tuple(values)], T.StructType(fields))
+    return out, df.join(F.broadcast(one)).withColumn(out, place).drop(*one.columns)  # one row
+
+
+def _total(df: DataFrame, order: list[SortKey]) -> list[SortKey]:
+    """An order with ties broken by a hash of the row."""
+    tie = [c for c in df.columns if not _unhashable(df.schema[c].dataType)]
+    return [*order, (F.xxhash64(*(F.col(f"`{c}`") for c in tie)) if tie else F.lit(0).cast("long"), True)]
+
+
 def _unhashable(kind: object) -> bool:
     return "map<" in kind.simpleString() or "variant" in kind.simpleString()

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.operators.ranks import Cuts, unused, with_places
+from tidelog.operators.ranks import Cuts, from_place, unused, with_places
 from tidelog.spec import DELETED, LAYER, OP, KeyColumn, KeySpec
 
 #: Keys of one band of an as-of join; see ``floor_join``.
@@ -38,7 +38,8 @@ def first(view: DataFrame, key: KeySpec, n: int = 1, *, reverse: bool = False) -
 
 
 def skip(view: DataFrame, key: KeySpec, n: int) -> DataFrame:
-    return scan(view, key).offset(n)
+    """All but the first ``n`` rows: an offset by itself would bring all rows into one task. Ties are those of ``ordinals``."""
+    return scan(from_place(view, key.sort_keys(), n), key)
 
 
 def between(view: DataFrame, key: KeySpec, low: Sequence | None = None, high: Sequence | None = None) -> DataFrame:
